@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.session import key_of
 
+_PLACES = "array<struct<child: string, item_no: int, sub_no: int>>"
 _SPACE = "[\\s﻿ ]"
 
 
@@ -17,19 +18,20 @@ def unwrap_json(text: Column) -> Column:
     return F.when(bare.startswith("```"), inner).otherwise(bare)
 
 
-def whole_json(text: Column) -> Column:
-    """The text if it is one whole JSON value, else null; a string that holds JSON gives that JSON."""
-    once = unwrap_json(text)
-    once = F.when(F.try_parse_json(once).isNotNull(), once)
-    inner = unwrap_json(F.element_at(F.from_json(F.concat(F.lit("["), once, F.lit("]")), "array<string>"), 1))
-    return F.when(once.startswith('"'), F.when(F.try_parse_json(inner).isNotNull(), inner)).otherwise(once)
+def json_items(df: DataFrame, column: str, wrapper: str) -> DataFrame:
+    """(doc_id, items): the elements of the column's JSON as JSON texts: of an array, of the array under ``wrapper``, or a lone object.
 
-
-def json_items(json: Column, wrapper: str) -> Column:
-    """The elements of a whole JSON value as JSON texts: of an array, of the array under ``wrapper``, or a lone object."""
-    held = F.get_json_object(json, f"$.{wrapper}")
-    open_ = F.when(json.startswith("{") & held.rlike("^[\\[{]"), held).otherwise(json)
-    return F.when(open_.startswith("["), F.from_json(open_, "array<string>")).when(open_.startswith("{"), F.array(open_))
+    A string that holds JSON counts as that JSON. Text that is cut off or is no JSON gives null. Each step is a named column that
+    the next ones share, so every text is parsed once.
+    """
+    in_list = lambda c: F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>")
+    t, lone, held = F.col("_t"), F.col("_lone"), F.col("_held")
+    steps = df.select("doc_id", unwrap_json(F.col(column)).alias("_t"))
+    steps = steps.select("doc_id", F.when(t.startswith('"'), unwrap_json(F.element_at(in_list(t), 1))).otherwise(t).alias("_t"))
+    steps = steps.select("doc_id", "_t", F.when(t.startswith("{"), in_list(t)).alias("_lone"))
+    steps = steps.select("doc_id", "_t", "_lone", F.get_json_object(F.element_at(lone, 1), f"$.{wrapper}").alias("_held"))
+    items = F.when(t.startswith("["), F.from_json(t, "array<string>")).when(held.startswith("["), F.from_json(held, "array<string>")).when(held.startswith("{"), F.array(held)).otherwise(lone)
+    return steps.select("doc_id", items.alias("items"))
 
 
 def latest(df: DataFrame, key: str, columns: list[str], at: str = "loaded_at") -> DataFrame:
@@ -42,10 +44,13 @@ def latest(df: DataFrame, key: str, columns: list[str], at: str = "loaded_at") -
     return df.select(key_of(key).alias(key), at, *columns).where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(picked, order).alias("r")).select(key, "r.*")
 
 
-def _objects(items: Column, build) -> Column:
-    """One struct per element that is an object, with its place; other elements give none but keep theirs."""
-    placed = F.transform(items, lambda x, i: F.struct(i.alias("item_no"), x.alias("json")))
-    return F.transform(F.filter(placed, lambda p: p["json"].startswith("{")), build)
+def _objects(items: Column, fields: str) -> Column:
+    """(item_no, o) per element that is an object: its place and its fields; other elements give none but keep their places.
+
+    The transforms are nested, not one lambda, so that no JSON is parsed once per field.
+    """
+    placed = F.filter(F.transform(items, lambda x, i: F.struct(i.alias("item_no"), x.alias("json"))), lambda p: p["json"].startswith("{"))
+    return F.transform(placed, lambda p: F.struct(p["item_no"].alias("item_no"), F.from_json(p["json"], fields).alias("o")))
 
 
 def _page(text: Column) -> Column:
@@ -62,15 +67,14 @@ def entity_tree(analytics: DataFrame) -> DataFrame:
 
     One pass of nested transforms; :func:`entities` and :func:`mentions` read it. Null, empty and cut-off JSON give a null list.
     """
-    fields = "name string, type string, description string, mentions string"
 
-    def build(p: Column) -> Column:
-        o = F.from_json(p["json"], fields)
-        sub = F.transform(_list(o["mentions"]), lambda m, j: F.struct(p["item_no"].alias("item_no"), j.alias("sub_no"), m.alias("json")))
-        return F.struct(p["item_no"].alias("item_no"), o["name"].alias("name"), o["type"].alias("type"), o["description"].alias("description"), sub.alias("subs"))
+    def build(e: Column) -> Column:
+        o = e["o"]
+        sub = F.transform(_list(o["mentions"]), lambda m, j: F.struct(e["item_no"].alias("item_no"), j.alias("sub_no"), m.alias("json")))
+        return F.struct(e["item_no"].alias("item_no"), o["name"].alias("name"), o["type"].alias("type"), o["description"].alias("description"), sub.alias("subs"))
 
-    rows = latest(analytics, "doc_id", ["entities"])
-    return rows.select("doc_id", json_items(whole_json(F.col("entities")), "entities").alias("items")).select("doc_id", _objects(F.col("items"), build).alias("items"))
+    rows = json_items(latest(analytics, "doc_id", ["entities"]), "entities", "entities")
+    return rows.select("doc_id", F.transform(_objects(F.col("items"), "name string, type string, description string, mentions string"), build).alias("items"))
 
 
 def entities(tree: DataFrame) -> DataFrame:
@@ -82,14 +86,16 @@ def entities(tree: DataFrame) -> DataFrame:
 def mentions(tree: DataFrame) -> DataFrame:
     """(doc_id, item_no, sub_no, page, span_start, span_end): one row per mention, tied to its entity by item_no."""
 
+    parsed = F.transform(F.flatten(_subs()), lambda m: F.struct(m["item_no"].alias("item_no"), m["sub_no"].alias("sub_no"), F.from_json(m["json"], "page string, span struct<start: string, end: string>").alias("o")))
+
     def row(m: Column) -> Column:
-        o = F.from_json(m["json"], "page string, span struct<start: string, end: string>")
+        o = m["o"]
         return F.struct(
             m["item_no"].alias("item_no"), m["sub_no"].alias("sub_no"), _page(o["page"]).alias("page"),
             o["span"]["start"].try_cast("int").alias("span_start"), o["span"]["end"].try_cast("int").alias("span_end"),
         )
 
-    return tree.select("doc_id", F.inline(F.transform(F.flatten(_subs()), row)))
+    return tree.select("doc_id", F.inline(F.transform(parsed, row)))
 
 
 def _subs() -> Column:
@@ -104,13 +110,14 @@ ALERT_TEXT = ("content", "text", "description", "message", "note")
 def alerts(analytics: DataFrame) -> DataFrame:
     """(doc_id, item_no, type, content, page): the alerts of each document's latest row, with the text from whichever field holds it."""
 
-    def build(p: Column) -> Column:
-        o = F.from_json(p["json"], "type string, page string, " + ", ".join(f"{f} string" for f in ALERT_TEXT))
+    def build(e: Column) -> Column:
+        o = e["o"]
         text = F.coalesce(*[F.when(o[f] != "", o[f]) for f in ALERT_TEXT])
-        return F.struct(p["item_no"].alias("item_no"), F.coalesce(o["type"], F.lit("insight")).alias("type"), text.alias("content"), _page(o["page"]).alias("page"))
+        return F.struct(e["item_no"].alias("item_no"), F.coalesce(o["type"], F.lit("insight")).alias("type"), text.alias("content"), _page(o["page"]).alias("page"))
 
-    rows = latest(analytics, "doc_id", ["alerts"])
-    return rows.select("doc_id", F.inline(_objects(json_items(whole_json(F.col("alerts")), "alerts"), build)))
+    rows = json_items(latest(analytics, "doc_id", ["alerts"]), "alerts", "alerts")
+    fields = "type string, page string, " + ", ".join(f"{f} string" for f in ALERT_TEXT)
+    return rows.select("doc_id", F.inline(F.transform(_objects(F.col("items"), fields), build)))
 
 
 def question_tree(quizzes: DataFrame) -> DataFrame:
@@ -120,7 +127,7 @@ def question_tree(quizzes: DataFrame) -> DataFrame:
     """
 
     def build(p: Column) -> Column:
-        o = F.from_json(p["json"], "id string, question string, options string, correct string, difficulty string, page_ref string")
+        o = p["o"]
         lone = F.get_json_object(o["options"], "$.text").isNotNull()
         by_label = F.transform(F.map_entries(F.from_json(o["options"], "map<string,string>")), lambda e: F.struct(e["key"].alias("label"), e["value"].alias("text")))
         one = lambda x: F.when(
@@ -135,8 +142,9 @@ def question_tree(quizzes: DataFrame) -> DataFrame:
             o["correct"].alias("correct"), o["difficulty"].alias("difficulty"), _page(o["page_ref"]).alias("page_ref"), sub.alias("subs"),
         )
 
-    rows = latest(quizzes, "doc_id", ["questions"])
-    return rows.select("doc_id", json_items(whole_json(F.col("questions")), "questions").alias("items")).select("doc_id", _objects(F.col("items"), build).alias("items"))
+    rows = json_items(latest(quizzes, "doc_id", ["questions"]), "questions", "questions")
+    fields = "id string, question string, options string, correct string, difficulty string, page_ref string"
+    return rows.select("doc_id", F.transform(_objects(F.col("items"), fields), build).alias("items"))
 
 
 def questions(tree: DataFrame) -> DataFrame:
@@ -153,11 +161,11 @@ def options(tree: DataFrame) -> DataFrame:
 def flat_rows(analytics: DataFrame, quizzes: DataFrame) -> DataFrame:
     """(child, doc_id, item_no, sub_no) of all five flat tables; sub_no is -1 where a row has no inner place."""
 
-    def both(tree: DataFrame, item: str, sub: str) -> DataFrame:
-        outer = F.transform("items", lambda e: F.struct(F.lit(item).alias("child"), e["item_no"].alias("item_no"), F.lit(-1).alias("sub_no")))
-        inner = F.transform(F.flatten(_subs()), lambda m: F.struct(F.lit(sub).alias("child"), m["item_no"].alias("item_no"), m["sub_no"].alias("sub_no")))
-        return tree.select("doc_id", F.inline(F.concat(outer, inner)))
+    def places(tree: DataFrame, item: str, sub: str) -> DataFrame:
+        outer = lambda e: F.array(F.struct(F.lit(item).alias("child"), e["item_no"].alias("item_no"), F.lit(-1).alias("sub_no")))
+        inner = lambda e: F.transform(e["subs"], lambda m: F.struct(F.lit(sub).alias("child"), m["item_no"].alias("item_no"), m["sub_no"].alias("sub_no")))
+        return tree.select("doc_id", F.inline(F.flatten(F.transform("items", lambda e: F.concat(outer(e), F.coalesce(inner(e), F.array().cast(_PLACES)))))))
 
-    alone = alerts(analytics).select("doc_id", F.lit("alert").alias("child"), "item_no", F.lit(-1).alias("sub_no"))
-    rows = both(entity_tree(analytics), "entity", "mention").unionByName(both(question_tree(quizzes), "question", "option")).unionByName(alone)
+    alone = alerts(analytics).select(F.lit("alert").alias("child"), "doc_id", "item_no", F.lit(-1).alias("sub_no"))
+    rows = places(entity_tree(analytics), "entity", "mention").unionByName(places(question_tree(quizzes), "question", "option")).unionByName(alone)
     return rows.select("child", "doc_id", F.col("item_no").cast("int").alias("item_no"), F.col("sub_no").cast("int").alias("sub_no"))
