@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import conversations
+from foliant.llm import conversations, leakage, tokenizer
 from foliant.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,9 @@ def queries() -> dict[str, Query]:
     return {
         "p6_found": lambda spark, d: conversations.dropped(table(spark, d, "chat_messages")),
         "p6_conversations": lambda spark, d: conversations.conversations(table(spark, d, "chat_messages")),
+        "p7_ids": lambda spark, d: tokenizer.encode_corpus(table(spark, d, "documents")),
+        "p8_found": lambda spark, d: leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items")),
+        "p8_spans": lambda spark, d: leakage.removal_spans(table(spark, d, "documents"), table(spark, d, "eval_items")),
     }
 
 
