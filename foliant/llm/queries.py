@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import conversations, leakage, tokenizer
+from foliant.llm import conversations, leakage, quality, tokenizer
 from foliant.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "p2_found": lambda spark, d: quality.broken_pairs(table(spark, d, "chat_pairs")),
+        "p2_report": lambda spark, d: quality.defect_report(table(spark, d, "chat_pairs")),
         "p6_found": lambda spark, d: conversations.dropped(table(spark, d, "chat_messages")),
         "p6_conversations": lambda spark, d: conversations.conversations(table(spark, d, "chat_messages")),
         "p7_ids": lambda spark, d: tokenizer.encode_corpus(table(spark, d, "documents")),
