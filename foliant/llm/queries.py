@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import conversations, leakage, quality, tokenizer
+from foliant.llm import conversations, leakage, quality, splitting, tokenizer
 from foliant.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
     return {
         "p2_found": lambda spark, d: quality.broken_pairs(table(spark, d, "chat_pairs")),
         "p2_report": lambda spark, d: quality.defect_report(table(spark, d, "chat_pairs")),
+        "p4_found": lambda spark, d: splitting.oversized(table(spark, d, "chunks")),
+        "p4_pieces": lambda spark, d: splitting.split_chunks(table(spark, d, "chunks")),
         "p6_found": lambda spark, d: conversations.dropped(table(spark, d, "chat_messages")),
         "p6_conversations": lambda spark, d: conversations.conversations(table(spark, d, "chat_messages")),
         "p7_ids": lambda spark, d: tokenizer.encode_corpus(table(spark, d, "documents")),
@@ -47,8 +49,16 @@ from c left join s using (user_id, doc_id)
 """
 
 
+# RE2 knows only ASCII white space as \\s
+_GAP = "[^\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}.!?。！？]"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": f"""
+            select distinct nullif(lower(trim(metadata.doc_id, {_BLANKS})), '') doc_id, metadata.chunk_index chunk_index,
+                   case when regexp_matches(text, '{_GAP}{{400}}[^\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]') then 'forced' else 'natural' end kind
+            from chunks where length(text) > 400""",
         "p6_found": f"select * from ({P6_JUDGED}) where reason is not null",
         "p6_conversations": f"""
             with j as ({P6_JUDGED}), m as ({P6_MESSAGES})
