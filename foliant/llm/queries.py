@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import conversations, leakage, quality, splitting, tokenizer
+from foliant.llm import conversations, leakage, neighbours, quality, splitting, tokenizer
 from foliant.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda spark, d: neighbours.similar_pairs(table(spark, d, "chunk_vectors")),
+        "p1_neighbours": lambda spark, d: neighbours.ranked_neighbours(table(spark, d, "chunk_vectors"), queries="id % 100 = 0"),
+        "p1_embeddings": lambda spark, d: neighbours.ranked_neighbours(table(spark, d, "embeddings"), queries="id % 100 = 0"),
         "p2_found": lambda spark, d: quality.broken_pairs(table(spark, d, "chat_pairs")),
         "p2_report": lambda spark, d: quality.defect_report(table(spark, d, "chat_pairs")),
         "p4_found": lambda spark, d: splitting.oversized(table(spark, d, "chunks")),
@@ -53,8 +56,22 @@ from c left join s using (user_id, doc_id)
 _GAP = "[^\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}.!?。！？]"
 
 
+def _ranked(name: str, condition: str) -> str:
+    return f"""
+        with v as (select distinct vec_id, embedding::double[64] e from {name}
+                   where len(embedding) = 64 and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+        r as (select a.vec_id, b.vec_id other, array_cosine_similarity(a.e, b.e) s,
+                     row_number() over (partition by a.vec_id order by array_cosine_similarity(a.e, b.e) desc, b.vec_id) "rank"
+              from v a join v b on a.vec_id <> b.vec_id where {condition})
+        select vec_id, "rank", other, s from r where "rank" <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
+    top = lambda name: f'select vec_id, "rank", other, round(s, 5) similarity from ({_ranked(name, "a.vec_id % 100 = 0")})'
     return {
+        "p1_found": f'select distinct least(vec_id, other) vec_a, greatest(vec_id, other) vec_b from ({_ranked("chunk_vectors", "true")}) where s >= 0.85',
+        "p1_neighbours": top("chunk_vectors"),
+        "p1_embeddings": top("embeddings"),
         "p4_found": f"""
             select distinct nullif(lower(trim(metadata.doc_id, {_BLANKS})), '') doc_id, metadata.chunk_index chunk_index,
                    case when regexp_matches(text, '{_GAP}{{400}}[^\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]') then 'forced' else 'natural' end kind
