@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +19,8 @@ from foliant.session import cut_lineage
 FIT_ROWS = 20_000
 #: Vectors that a bucket should hold. It sets the length of the substrings: one bit more for twice as many vectors.
 BUCKET = 2048
-#: A bucket that would hold more than this many times BUCKET is divided by a code of its own.
-HOT = 4
+#: A bucket that would hold more than this many times BUCKET is divided, by a code of its own, into parts of at most that size.
+HOT = 8
 #: The number of substrings is such that a pair of this cosine similarity shares one with this probability.
 AIM_SIMILARITY, AIM_RECALL = 0.9, 0.985
 MAX_BITS, BLOCK = 20, 1024
@@ -67,7 +66,7 @@ class Codes:
             for bucket, count in zip(*np.unique(bucket_of, return_counts=True)):
                 if count * share > HOT * BUCKET and count > 1:
                     own = sample[bucket_of == bucket]
-                    depth = min(12, dim, math.ceil(math.log2(count * share / BUCKET)))
+                    depth = min(12, dim, math.ceil(math.log2(count * share / (HOT * BUCKET))))
                     d = _rotation(own - own.mean(0), rng, depth)
                     codes.finer[t, int(bucket)] = (d, np.median(own @ d, 0))
         return codes
@@ -128,10 +127,11 @@ def _encode(rows: DataFrame, codes: Codes, dim: int, flips: int, query: bool) ->
 def _best_in_bucket(dim: int, k: int, least: float | None, every: bool):
     """For each query of a bucket its ``k`` most similar other vectors there; the similarity is computed in double precision."""
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, vectors = pdf["id"].to_numpy(), _unit(np.frombuffer(b"".join(pdf["vector"]), np.float32).reshape(len(pdf), dim))
-        asks = np.flatnonzero(pdf["query"].to_numpy()) if not every else np.arange(len(pdf))
-        held = np.arange(len(pdf)) if every else np.flatnonzero(~pdf["query"].to_numpy())
+    def best(bucket: pa.Table) -> pa.Table:
+        n, query = bucket.num_rows, bucket["query"].to_numpy()
+        ids, vectors = bucket["id"].to_numpy(), _unit(np.frombuffer(b"".join(bucket["vector"].to_pylist()), np.float32).reshape(n, dim))
+        asks = np.arange(n) if every else np.flatnonzero(query)
+        held = np.arange(n) if every else np.flatnonzero(~query)
         rough = vectors.astype(np.float32)
         targets = rough[held].T.copy()
         out_rows, out_cols, out_sims = [], [], []
@@ -154,11 +154,11 @@ def _best_in_bucket(dim: int, k: int, least: float | None, every: bool):
             out_rows.append(ids[a[rows[kept]]])
             out_cols.append(ids[held[cols[kept]]])
             out_sims.append(sims[kept])
-        if not out_rows:
-            return pd.DataFrame({"id": [], "other": [], "similarity": []}).astype({"id": "int64", "other": object, "similarity": object})
-        rows, cols, sims = np.concatenate(out_rows), np.concatenate(out_cols), np.concatenate(out_sims)
-        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, int)
-        return pd.DataFrame({"id": rows[starts], "other": np.split(cols, starts[1:]) if len(starts) else [], "similarity": np.split(sims, starts[1:]) if len(starts) else []})
+        rows, cols, sims = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((out_rows, np.int64), (out_cols, np.int64), (out_sims, float)))
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
+        offsets = pa.array(np.append(starts, len(rows)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (cols, sims)]
+        return pa.table([pa.array(rows[starts]), *lists], ["id", "other", "similarity"])
 
     return best
 
@@ -200,7 +200,7 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, least: float | Non
         # a group is asked for if any of its members is a query
         asked = reps.join(members.where(queries).select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
         index = index.unionByName(_encode(asked, codes, dim, flips, True))
-    lists = index.groupBy("key").applyInPandas(_best_in_bucket(dim, k, least, every), "id long, other array<long>, similarity array<double>")
+    lists = index.groupBy("key").applyInArrow(_best_in_bucket(dim, k, least, every), "id long, other array<long>, similarity array<double>")
     pairs = F.arrays_zip(F.transform("similarity", lambda s: -s).alias("s"), F.col("other").alias("o"))
     best = lists.select("id", pairs.alias("p")).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("p")).select("id", F.slice("p", 1, k).alias("p"))
 
