@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import conversations, leakage, neighbours, quality, splitting, tokenizer
+from foliant.llm import conversations, language_id, leakage, neighbours, quality, splitting, tokenizer
 from foliant.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,9 @@ def queries() -> dict[str, Query]:
         "p7_ids": lambda spark, d: tokenizer.encode_corpus(table(spark, d, "documents")),
         "p8_found": lambda spark, d: leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items")),
         "p8_spans": lambda spark, d: leakage.removal_spans(table(spark, d, "documents"), table(spark, d, "eval_items")),
+        "p9_found": lambda spark, d: language_id.mislabelled(table(spark, d, "documents")),
+        "p9_languages": lambda spark, d: language_id.document_languages(table(spark, d, "documents")),
+        "p9_passages": lambda spark, d: language_id.segments(table(spark, d, "documents")),
     }
 
 
