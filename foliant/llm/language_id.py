@@ -8,16 +8,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from foliant.llm.languages import LANGUAGES, code_of
+from foliant.llm.languages import CODE_OF, LANGUAGES
+from foliant.session import BLANKS
 
 #: Bytes of a window; a longer sentence has several, which together cover it.
 WINDOW = 96
 #: The bounded sample that the network is trained on: documents of each labelled language, and sentences in all.
-FIT_DOCS, FIT_SENTENCES = 700, 30_000
+FIT_DOCS, FIT_SENTENCES = 300, 30_000
 #: Steps of training at least: a small sample is gone through more often.
 LEAST_STEPS = 1200
 #: Longest text that is taken into the training sample (nothing is left out when the network is applied).
@@ -80,28 +80,52 @@ class ByteNet:
     bias: np.ndarray
 
     @staticmethod
-    def fresh(rng: np.random.Generator, widths: tuple[int, ...] = (2, 3, 4), size: int = 12, each: int = 40) -> ByteNet:
+    def fresh(rng: np.random.Generator, widths: tuple[int, ...] = (2, 3, 4), size: int = 12, each: int = 32) -> ByteNet:
         normal = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         embedding = (rng.standard_normal((256, size)) * 0.5).astype(np.float32)
         return ByteNet(embedding, [normal(w * size, each) for w in widths], [np.zeros(each, np.float32) for _ in widths], normal(each * len(widths), len(LANGUAGES)), np.zeros(len(LANGUAGES), np.float32))
 
+    def _places(self) -> int:
+        """Places of a window at which all filters are applied."""
+        return WINDOW - max(len(f) for f in self.filters) // self.embedding.shape[1] + 1
+
     def _spread(self, x: np.ndarray, width: int) -> np.ndarray:
         """The bytes under the filter at each place, embedded, side by side."""
-        e = self.embedding[x]
-        return np.concatenate([e[:, j : WINDOW - width + 1 + j] for j in range(width)], axis=2)
-
-    def probabilities(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
-        out = []
+        e, n = self.embedding[x], self._places()
+        return np.concatenate([e[:, j : n + j] for j in range(width)], axis=2)
+
+    def _byte_tables(self) -> np.ndarray:
+        """What each byte adds to all filters at each place under them: (places, 256, filters), with an even number of places."""
+        size, total = self.embedding.shape[1], sum(f.shape[1] for f in self.filters)
+        wide = max(len(f) for f in self.filters) // size
+        single = np.zeros((wide + wide % 2, 256, total), self.embedding.dtype)
+        at = 0
+        for f in self.filters:
+            for j in range(len(f) // size):
+                single[j, :, at : at + f.shape[1]] = self.embedding @ f[j * size : (j + 1) * size]
+            at += f.shape[1]
+        return single
+
+    def probabilities(self, x: np.ndarray, batch: int = 8) -> np.ndarray:
+        """The convolution as sums of table rows: only pairs of bytes that occur get a row, and small batches stay in the cache."""
+        if not len(x):
+            return np.zeros((0, len(LANGUAGES)), np.float32)
+        single, n = self._byte_tables(), self._places()
+        pairs = x[:, :-1].astype(np.int32) * 256 + x[:, 1:]
+        used = np.flatnonzero(np.bincount(pairs.ravel(), minlength=65536))
+        row = np.zeros(65536, np.int32)
+        row[used] = np.arange(len(used))
+        tables = [single[j][used >> 8] + single[j + 1][used & 255] for j in range(0, len(single), 2)]
+        pairs, pooled = row[pairs], np.empty((len(x), single.shape[2]), single.dtype)
         for at in range(0, len(x), batch):
-            part = x[at : at + batch]
-            pooled = []
-            for f, b in zip(self.filters, self.biases):
-                s = self._spread(part, len(f) // self.embedding.shape[1])
-                pooled.append((s.reshape(-1, len(f)) @ f).reshape(len(part), -1, f.shape[1]).max(1) + b)
-            z = np.maximum(np.concatenate(pooled, 1), 0) @ self.weights + self.bias
-            z = np.exp(z - z.max(1, keepdims=True))
-            out.append(z / z.sum(1, keepdims=True))
-        return np.concatenate(out) if out else np.zeros((0, len(LANGUAGES)), np.float32)
+            part = pairs[at : at + batch]
+            s = tables[0][part[:, :n]]
+            for j, t in enumerate(tables[1:], 1):
+                s += t[part[:, 2 * j : 2 * j + n]]
+            s.max(1, out=pooled[at : at + batch])
+        z = np.maximum(pooled + np.concatenate(self.biases), 0) @ self.weights + self.bias
+        z = np.exp(z - z.max(1, keepdims=True))
+        return z / z.sum(1, keepdims=True)
 
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         size, n = self.embedding.shape[1], len(x)
@@ -153,15 +177,16 @@ class ByteNet:
                     p -= (rate / (1 + 4 * epoch / epochs)) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-7)
 
 
-@F.pandas_udf(T.StringType())
-def _code(labels: pd.Series) -> pd.Series:
-    known = {x: code_of(x) for x in labels.unique()}
-    return labels.map(known)
+def label_code(label: Column | str) -> Column:
+    """As code_of, as a column expression: the two-letter code that a label stands for, null for none of the eight."""
+    bare = F.lower(F.btrim(label, F.lit(BLANKS)))
+    codes = F.create_map(*[F.lit(x) for pair in CODE_OF.items() for x in pair])
+    return F.coalesce(F.element_at(codes, F.coalesce(bare, F.lit(""))), F.element_at(codes, F.coalesce(F.split(bare, "[-_ (]")[0], F.lit(""))))
 
 
 def training_sentences(documents: DataFrame, docs: int = FIT_DOCS) -> tuple[list[str], np.ndarray]:
     """(sentences, languages): of a sample of about ``docs`` documents of each label, by a hash of the text; labels may be wrong."""
-    held = documents.select("text", _code("lang").alias("code")).where("code is not null and length(text) > 0").where(F.length("text") <= FIT_LENGTH)
+    held = documents.select("text", label_code("lang").alias("code")).where("code is not null and length(text) > 0").where(F.length("text") <= FIT_LENGTH)
     counts = {r.code: r.n for r in held.groupBy("code").agg(F.count("*").alias("n")).collect()}  # at most one row a language
     if not counts:
         return [], np.zeros(0, np.int64)
@@ -234,7 +259,7 @@ def _segments(documents: DataFrame, net: ByteNet) -> DataFrame:
                     found.append(whole)
                     texts += [text[a:b] for a, b, _ in whole]
                 p, out, at_unit = _classify(net, texts), [], 0
-                for doc_id, lang, text, spans in zip(part["doc_id"], part["lang"], part["text"], found):
+                for doc_id, label, text, spans in zip(part["doc_id"], part["label"], part["text"], found):
                     if not spans:
                         continue
                     own = p[at_unit : at_unit + len(spans)]
@@ -242,11 +267,11 @@ def _segments(documents: DataFrame, net: ByteNet) -> DataFrame:
                     weight = np.array([b - a for a, b, _ in spans])
                     main = int((own * weight[:, None]).sum(0).argmax())
                     for run in _runs(text, spans, own):
-                        out.append((doc_id, code_of(lang), LANGUAGES[main], run[0], run[1], LANGUAGES[run[2]], run[3], run[4]))
+                        out.append((doc_id, label, LANGUAGES[main], run[0], run[1], LANGUAGES[run[2]], run[3], run[4]))
                 yield pd.DataFrame(out, columns=["doc_id", "label", "main", "start", "end", "lang", "confidence", "sentences"])
 
     # words: at least one letter
-    rows = documents.select("doc_id", "lang", "text").where("doc_id is not null").where(F.col("text").rlike("\\p{L}"))
+    rows = documents.select("doc_id", label_code("lang").alias("label"), "text").where("doc_id is not null").where(F.col("text").rlike("\\p{L}"))
     return rows.mapInPandas(batches, f"doc_id {kind}, label string, main string, start int, end int, lang string, confidence double, sentences int")
 
 
