@@ -100,7 +100,7 @@ def found_nothing(answer: Column) -> Column:
 
 def similarity(distance: Column) -> Column:
     """From a squared distance of unit vectors to 0..1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - distance / 2.0))
+    return F.when(distance.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - distance / 2.0)))
 
 
 def relevance(distance: Column) -> Column:
@@ -109,7 +109,7 @@ def relevance(distance: Column) -> Column:
 
 def confidence(mean_distance: Column) -> Column:
     """Whole per cent, cut off; nothing found gives 0. Noise below 1e-9 does not turn 80 into 79."""
-    return F.coalesce(F.floor(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1.0 - mean_distance / 2.0) * 100)), 9)).cast("int"), F.lit(0))
+    return F.coalesce(F.floor(F.round(similarity(mean_distance) * 100, 9)).cast("int"), F.lit(0))
 
 
 def level(score: Column) -> Column:
