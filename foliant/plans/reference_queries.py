@@ -158,6 +158,12 @@ def sources_cited(spark: SparkSession, d: str) -> DataFrame:
     return pruned.select("id", "n_cited", F.size("s").alias("n_sources"), F.array_join(F.transform("s", lambda x: x["page"].cast("string")), ",", "-").alias("pages"))
 
 
+def assistant_sources(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "chat_messages").where(F.lower(F.trim("role")).isin("assistant", "ai", "bot"))
+    pages = F.transform(F.from_json("sources", "array<struct<page: int, relevance: double>>"), lambda x: x["page"].cast("string"))
+    return rows.select(key_of("id").alias("id"), F.substring("content", 1, 60).alias("start"), F.array_join(pages, ",", "-").alias("pages")).distinct()
+
+
 def confidence_levels(spark: SparkSession, d: str) -> DataFrame:
     label = A.level(F.col("confidence"))
     rows = table(spark, d, "chat_messages").where("confidence is not null").select("confidence", label.alias("label"), A.match_label(F.col("confidence")).alias("match_label"), A.level_colour(label).alias("colour"), A.meter_width(F.col("confidence"), label).alias("width"))
@@ -220,6 +226,9 @@ def queries() -> dict[str, Query]:
         "hybrid_rank_variant_a": lambda s, d: _rounded(_scored(s, d, retrieval.VARIANT_A)[0], "pattern_boost", "header_boost", "hybrid"),
         "hybrid_rank_variant_b": lambda s, d: _rounded(_scored(s, d, retrieval.VARIANT_B)[0], "subject_boost", "hybrid"),
         "neighbour_expand": neighbour_expand,
+        "page_filter": lambda s, d: _chunks(s, d).where(F.col("page").isin(2, 4)).select("doc_id", "chunk_index", "page"),
+        "assistant_sources": assistant_sources,
+        "comparable_requests": lambda s, d: table(s, d, "chat_pairs").where((F.size("doc_ids") >= 2) & (F.trim("question") != "")).select("pair_id").distinct().agg(F.count("*").alias("requests")),
         "search": search,
         "search_scoped": search_scoped,
         "search_confidence": search_confidence,
@@ -322,6 +331,23 @@ ranked as (select *, row_number() over (partition by query_id order by round(hyb
 """
 
 
+def _found() -> str:
+    """The fold over each question's results, a step per place; marks of used chunks are kept in a list."""
+    return _ranked().replace("\nwith c as", "\nwith recursive c as", 1) + """,
+items as (select r.query_id, r.doc_id, r.chunk_index, r.text, r.hybrid, x.text next_text, row_number() over (partition by r.query_id order by "rank") i
+          from ranked r left join c x on x.doc_id = r.doc_id and x.chunk_index = r.chunk_index + 1 where "rank" <= 5 and round(hybrid, 9) >= 0.5),
+marked as (select *, doc_id || chr(0) || chunk_index own, case when next_text is null then [doc_id || chr(0) || chunk_index] else [doc_id || chr(0) || chunk_index, doc_id || chr(0) || (chunk_index + 1)] end marks from items),
+fold as (select query_id, i, marks seen, 1 place, true taken from marked where i = 1
+         union all
+         select m.query_id, m.i, case when list_contains(f.seen, m.own) then f.seen else list_concat(f.seen, m.marks) end,
+                f.place + case when list_contains(f.seen, m.own) then 0 else 1 end, not list_contains(f.seen, m.own)
+         from fold f join marked m on m.query_id = f.query_id and m.i = f.i + 1),
+found as (select m.query_id, f.place, m.doc_id, m.chunk_index, m.hybrid,
+                 case when m.next_text is null then m.text when m.text like '%' || chr(10) then m.text || m.next_text else m.text || chr(10) || m.next_text end as text
+          from marked m join fold f on f.query_id = m.query_id and f.i = m.i and f.taken)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     doc_terms = f"select doc_id, unnest({_terms('text')}) term from documents"
     five = lambda *names: ", ".join(f"round({n}, 5) {n}" for n in names)
@@ -356,6 +382,24 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_rank_variant_a": _ranked(ranking=retrieval.VARIANT_A) + f"select query_id, doc_id, chunk_index, {five('pattern_boost', 'header_boost', 'hybrid')} from ranked",
         "hybrid_rank_variant_b": _ranked(ranking=retrieval.VARIANT_B) + f"select query_id, doc_id, chunk_index, {five('subject_boost', 'hybrid')} from ranked",
         "search_scoped": _ranked(scoped=True) + f"select query_id, doc_id, chunk_index, vector_rank, {five('hybrid')} from ranked",
+        "search": _found() + f"select query_id, place::int place, doc_id, chunk_index, text, {five('hybrid')} from found",
+        "search_confidence": _found() + f"""
+            , g as (select query_id, floor(round(avg(greatest(0.0, least(1.0, hybrid))) * 100, 9))::int confidence, count(*)::int sources,
+                           length(string_agg('Source Index: ' || (place - 1) || chr(10) || 'Document: ' || coalesce(doc_name, 'Unknown Document') || ' (Page ' || coalesce(page, 1) || ')' || chr(10) || 'Content: ' || found.text || chr(10) || '---', chr(10)))::int context_length
+                    from found join c using (doc_id, chunk_index) group by 1)
+            select query_id, confidence, {level("confidence")} label, sources, context_length from g""",
+        "compare_context": _found() + """
+            select query_id, doc_id, min(place)::int first_place, count(*) chunks, length(string_agg('[Page ' || coalesce(page, 1) || ']: ' || found.text, chr(10)))::int length
+            from found join c using (doc_id, chunk_index) group by 1, 2""",
+        "sources_cited": f"""
+            with m as (select distinct {_key("id")} id, from_json(sources, '[{{"page": "INTEGER"}}]') s, {cited.format("coalesce(content, '')")} c from chat_messages where json_array_length(sources) > 0),
+            v as (select *, list_filter(c, lambda i: i < len(s)) good from m),
+            p as (select id, len(c)::int n_cited, case when len(good) > 0 then list_transform(good, lambda i: s[i + 1].page) else list_transform(s, lambda x: x.page) end pages from v)
+            select id, n_cited, len(pages)::int n_sources, array_to_string(list_transform(pages, lambda x: coalesce(x::varchar, '-')), ',') pages from p""",
+        "page_filter": f"select doc_id, chunk_index, page from ({_CHUNKS}) where page in (2, 4)",
+        "assistant_sources": f"""select distinct {_key("id")} id, substring(content, 1, 60) start, array_to_string(list_transform(from_json(sources, '[{{"page": "INTEGER", "relevance": "DOUBLE"}}]'), lambda x: coalesce(x.page::varchar, '-')), ',') pages
+            from chat_messages where lower(trim(role)) in ('assistant', 'ai', 'bot')""",
+        "comparable_requests": "select count(*) requests from (select distinct pair_id from chat_pairs where len(doc_ids) >= 2 and trim(question) <> '')",
         "neighbour_expand": f"with c as ({_CHUNKS}) select a.doc_id, a.chunk_index, length(b.text) next_length from c a left join c b on b.doc_id = a.doc_id and b.chunk_index = a.chunk_index + 1",
         "owner_documents": f"select {key_user} user_id, count(*) documents, sum(size)::bigint bytes from documents where {key_user} is not null group by 1",
         "ownership_violations": f"""
