@@ -80,5 +80,54 @@ select table_name, row_id, reason, period from judged where reason is not null
 """
 
 
+_EDGE = "[\\s\\x{feff}\\x{a0}]"
+
+
+def _bare(text: str) -> str:
+    """The text inside a code fence, or the text itself."""
+    t = f"regexp_replace({text}, '^{_EDGE}+|{_EDGE}+$', '', 'g')"
+    return f"case when {t} like '```%' then regexp_replace(regexp_replace({t}, '^```\\w*{_EDGE}*', ''), '{_EDGE}*```$', '') else {t} end"
+
+
+def _items(table_name: str, column: str, name: str) -> str:
+    """Common table ``name``: (doc_id, item_no, o): the objects of the column's JSON in each document's latest row."""
+    return f"""
+{name}_1 as (select {_key("doc_id")} doc_id, {_bare(column)} t from {table_name} where {_key("doc_id")} is not null qualify row_number() over (partition by {_key("doc_id")} order by loaded_at desc) = 1),
+{name}_2 as (select doc_id, case when json_valid(t) and json_type(t) = 'VARCHAR' then {_bare("(t::json ->> '$')")} else t end t from {name}_1),
+{name}_3 as (select doc_id, case when json_valid(t) then t::json end j from {name}_2),
+{name}_4 as (select doc_id, case when json_type(j) = 'OBJECT' and json_type(j -> '{column}') in ('ARRAY', 'OBJECT') then j -> '{column}' else j end j from {name}_3),
+{name}_5 as (select doc_id, case json_type(j) when 'ARRAY' then json_extract(j, '$[*]') when 'OBJECT' then [j] end l from {name}_4),
+{name}_6 as (select doc_id, unnest(range(len(l)))::int item_no, unnest(l) o from {name}_5),
+{name} as (select * from {name}_6 where json_type(o) = 'OBJECT')"""
+
+
+_ENTITIES, _ALERTS, _QUESTIONS = _items("analytics", "entities", "e"), _items("analytics", "alerts", "a"), _items("quizzes", "questions", "q")
+_MENTIONS = """
+m_1 as (select doc_id, item_no, case json_type(o -> 'mentions') when 'ARRAY' then json_extract(o, '$.mentions[*]') when 'OBJECT' then [o -> 'mentions'] end l from e),
+m as (select doc_id, item_no, unnest(range(len(l)))::int sub_no, unnest(l) x from m_1)"""
+_OPTIONS = """
+o_1 as (select doc_id, item_no, o ->> 'correct' correct, o -> 'options' s from q),
+o_2 as (select doc_id, item_no, correct, case when json_type(s) = 'ARRAY' then list_transform(json_extract(s, '$[*]'), lambda x: case when json_type(x) = 'OBJECT' then struct_pack(label := x ->> 'label', "text" := x ->> 'text') else struct_pack(label := null::varchar, "text" := x ->> '$') end)
+          when json_type(s) = 'OBJECT' and (s ->> 'text') is not null then [struct_pack(label := s ->> 'label', "text" := s ->> 'text')]
+          when json_type(s) = 'OBJECT' then list_transform(json_keys(s), lambda k: struct_pack(label := k, "text" := json_extract_string(s, '$."' || k || '"'))) end l from o_1),
+o as (select doc_id, item_no, correct, unnest(range(len(l)))::int sub_no, unnest(l) x from o_2)"""
+_PAGE = "trunc(try_cast(regexp_extract({}, '-?\\d+(\\.\\d+)?') as double))::int"
+ENTITY_SQL = f"with {_ENTITIES} select doc_id, item_no, o ->> 'name' as name, o ->> 'type' as type, o ->> 'description' description from e"
+QUESTION_COUNT_SQL = f"with {_QUESTIONS} select doc_id, count(*) questions from q group by 1"
+OPTION_SQL = f"with {_QUESTIONS}, {_OPTIONS} select doc_id, item_no, sub_no, x.label label, x.text as text, x.text = correct is_correct from o"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL, "p3_report": f"select table_name, reason, period, count(*) orphans from ({P3_SQL}) group by all"}
+    texts = ", ".join(f"nullif(o ->> '{f}', '')" for f in nested.ALERT_TEXT)
+    return {
+        "p5_found": f"""with {_ENTITIES}, {_ALERTS}, {_QUESTIONS}, {_MENTIONS}, {_OPTIONS}
+            select 'entity' child, doc_id, item_no, -1 sub_no from e union all select 'alert', doc_id, item_no, -1 from a union all select 'question', doc_id, item_no, -1 from q
+            union all select 'mention', doc_id, item_no, sub_no from m union all select 'option', doc_id, item_no, sub_no from o""",
+        "p5_entities": ENTITY_SQL,
+        "p5_mentions": f"""with {_ENTITIES}, {_MENTIONS} select doc_id, item_no, sub_no, {_PAGE.format("x ->> 'page'")} page, try_cast(x ->> '$.span.start' as int) span_start, try_cast(x ->> '$.span.end' as int) span_end from m""",
+        "p5_alerts": f"""with {_ALERTS} select doc_id, item_no, coalesce(o ->> 'type', 'insight') as type, coalesce({texts}) as content, {_PAGE.format("o ->> 'page'")} page from a""",
+        "p5_questions": f"""with {_QUESTIONS} select doc_id, item_no, coalesce(try_cast(o ->> 'id' as int), item_no + 1) question_id, o ->> 'question' question, o ->> 'correct' correct, o ->> 'difficulty' difficulty, {_PAGE.format("o ->> 'page_ref'")} page_ref from q""",
+        "p5_options": OPTION_SQL,
+"p3_found": P3_SQL,
+        "p3_report": f"select table_name, reason, period, count(*) orphans from ({P3_SQL}) group by all",
+    }

@@ -11,6 +11,7 @@ from foliant.functions import answers as A
 from foliant.functions import render as R
 from foliant.functions import text as X
 from foliant.operators import catalog, chunking, compare, nested, retrieval
+from foliant.plans.data_queries import ENTITY_SQL, OPTION_SQL, QUESTION_COUNT_SQL
 from foliant.session import cut_lineage, key_of, table
 from foliant.streaming import events
 
@@ -396,6 +397,15 @@ def oracle_sql() -> dict[str, str]:
             v as (select *, list_filter(c, lambda i: i < len(s)) good from m),
             p as (select id, len(c)::int n_cited, case when len(good) > 0 then list_transform(good, lambda i: s[i + 1].page) else list_transform(s, lambda x: x.page) end pages from v)
             select id, n_cited, len(pages)::int n_sources, array_to_string(list_transform(pages, lambda x: coalesce(x::varchar, '-')), ',') pages from p""",
+        "compare_documents": _found() + """
+            , g as (select query_id, doc_id, length(substring(string_agg('[Page ' || coalesce(page, 1) || ']: ' || found.text, chr(10)), 1, 3000))::int length from found join c using (doc_id, chunk_index) group by 1, 2),
+            asked as (select query_id, unnest([min(doc_id), 'no such document']) doc_id from found group by 1)
+            select query_id, doc_id, coalesce(length, length('no direct mention'))::int length from asked left join g using (query_id, doc_id)""",
+        "analytics_repaired": f"select doc_id, item_no, coalesce(name, 'Unknown') as name, coalesce(type, 'Concept') as type, coalesce(description, '') description from ({ENTITY_SQL})",
+        "quiz_score": f"""
+            with n as ({QUESTION_COUNT_SQL}), r as (select doc_id, count(*) filter (is_correct) "right" from ({OPTION_SQL}) where sub_no = 0 group by 1),
+            s as (select doc_id, questions, coalesce("right", 0) "right" from n left join r using (doc_id))
+            select doc_id, questions, "right", floor("right" * 100.0 / questions + 0.5)::bigint "percent", floor("right" * 100.0 / questions + 0.5) >= 70 passed from s""",
         "page_filter": f"select doc_id, chunk_index, page from ({_CHUNKS}) where page in (2, 4)",
         "assistant_sources": f"""select distinct {_key("id")} id, substring(content, 1, 60) start, array_to_string(list_transform(from_json(sources, '[{{"page": "INTEGER", "relevance": "DOUBLE"}}]'), lambda x: coalesce(x.page::varchar, '-')), ',') pages
             from chat_messages where lower(trim(role)) in ('assistant', 'ai', 'bot')""",
@@ -425,7 +435,7 @@ def oracle_sql() -> dict[str, str]:
         "quiz_context": spread + " select doc_id, substring(string_agg('[PAGE ' || page || ']: ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by place), 1, 12000) context from s group by 1",
         "intent_classes": f"""
             with q as (select translate(lower({_STRIP("coalesce(content, '')")}), '?!.,', '') q, trim(lower({_STRIP("coalesce(content, '')")}), '?.! ') bare from chat_messages where lower(trim(role)) in ('user', 'human'))
-            select case when {_STRIP("q")} = '' or q in ({quoted(A.GREETINGS)}) or {_STRIP("q")} in ({quoted([g for g in A.GREETINGS if " " not in g])}) or {" or ".join(f"contains(q, '{p}')" for p in A.OUTSIDE_PHRASES)} then 'CONVERSATIONAL'
+            select case when {_STRIP("q")} = '' or q in ({quoted(A.GREETINGS)}) or {_STRIP("q")} in ({quoted(A.SINGLE_WORDS)}) or {" or ".join(f"contains(q, '{p}')" for p in A.OUTSIDE_PHRASES)} then 'CONVERSATIONAL'
                         when length(bare) <= 2 or bare in ({quoted(A.VAGUE)}) then 'AMBIGUOUS' else 'FACTUAL' end intent, count(*) messages from q group by 1""",
         "mode_params": f"select mode, {mode(0)} top_k, ({mode(1)})::double temperature, greatest(3 * {mode(0)}, 15) candidates, count(*) requests from chat_pairs group by all",
         "answer_parts": f"""with a as ({answers}) select pair_id, array_to_string({cited.format("answer")}, ',') cited,
