@@ -43,7 +43,7 @@ def units(text: str) -> list[tuple[int, int, bool]]:
         if not m.group().strip():
             continue
         if blocks:
-            before, here = text[blocks[-1][0] : blocks[-1][1]].rstrip(), m.group().lstrip()
+            before, here = text[max(blocks[-1][0], blocks[-1][1] - 200) : blocks[-1][1]].rstrip(), m.group().lstrip()
             if not _WHOLE.search(before) and here[:1].islower() and (before[-1:].isalpha() or before[-1:] in "-,;"):
                 blocks[-1][1] = m.end()
                 continue

@@ -79,6 +79,12 @@ def oracle_sql() -> dict[str, str]:
             select distinct nullif(lower(trim(metadata.doc_id, {_BLANKS})), '') doc_id, metadata.chunk_index chunk_index,
                    case when regexp_matches(text, '{_GAP}{{400}}[^\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]') then 'forced' else 'natural' end kind
             from chunks where length(text) > 400""",
+        "p8_found": """
+            with w as (select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') l from documents where text is not null),
+            d as (select distinct doc_id, unnest(list_transform(range(1, len(l) - 10), lambda i: array_to_string(list_slice(l, i, i + 11), ' '))) g from w where len(l) >= 12),
+            v as (select item_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') l from eval_items where text is not null),
+            e as (select distinct item_id, unnest(list_transform(range(1, len(l) - 10), lambda i: array_to_string(list_slice(l, i, i + 11), ' '))) g from v where len(l) >= 12)
+            select distinct doc_id, item_id from d join e using (g)""",
         "p6_found": f"select * from ({P6_JUDGED}) where reason is not null",
         "p6_conversations": f"""
             with j as ({P6_JUDGED}), m as ({P6_MESSAGES})

@@ -63,3 +63,11 @@ def test_gradients():
         down = loss()
         p[at] = was
         assert (up - down) / 2e-6 == pytest.approx(g[at], rel=1e-3)
+
+
+def test_units_of_wrapped_lines_and_very_long_texts():
+    wrapped = "The tenant delays the dep-\nosit for reasons\ngiven below. The night shift\nSECTION 2\ncovers it now."
+    assert [wrapped[a:b] for a, b, whole in L.units(wrapped) if whole] == ["The tenant delays the dep-\nosit for reasons\ngiven below.", "covers it now."]
+    long = "word word\n" * 200_000
+    assert [(a, b, w) for a, b, w in L.units(long)] == [(0, len(long) - 1, False)]
+    assert len(L.windows_of("x" * 1_000_000)) == -(-1_000_000 // L.WINDOW)
