@@ -14,10 +14,12 @@ GREETINGS = [
     "who are you", "what are you", "your name", "what is your name", "who built you",
     "thank you", "thanks", "bye", "goodbye", "help", "what can you do", "hi there", "hello there", "hey there",
     "ok", "okay", "got it", "i see", "understood", "okay thanks", "thanks a lot", "thank you so much",
-    "never mind", "nevermind", "no thanks", "no thank you", "fine", "cool", "great", "awesome", "yes", "no",
+    "never mind", "nevermind", "no thanks", "no thank you", "fine", "cool", "great", "awesome",
     "not there", "it is not there", "it's not there", "is it in the document", "is this in the document",
     "not in the doc", "it is not in the doc", "it's not in the doc", "out of the doc", "that is out of scope", "this is out of scope",
 ]
+# Small talk of one word.
+SINGLE_WORDS = ["hi", "hello", "hey", "hola", "yo", "howdy", "thanks", "help", "ok", "okay", "fine", "cool", "great", "understood", "awesome", "yes", "no"]
 # Phrases that make a message small talk wherever they stand.
 OUTSIDE_PHRASES = [
     "out of the document", "not in the document", "out of document", "not in document", "not there in the document",
@@ -43,7 +45,7 @@ def _any_contained(text: Column, phrases: list[str]) -> Column:
 def is_small_talk(question: Column) -> Column:
     """A greeting, thanks, acknowledgement or remark on the document's limits; blank and null questions too."""
     q = F.translate(F.lower(strip(F.coalesce(question, F.lit("")))), "?!.,", "")
-    return (strip(q) == "") | q.isin(*GREETINGS) | strip(q).isin(*[g for g in GREETINGS if " " not in g]) | _any_contained(q, OUTSIDE_PHRASES)
+    return (strip(q) == "") | q.isin(*GREETINGS) | strip(q).isin(*SINGLE_WORDS) | _any_contained(q, OUTSIDE_PHRASES)
 
 
 def intent(question: Column) -> Column:

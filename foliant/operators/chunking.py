@@ -71,9 +71,10 @@ def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
         return texts.map(lambda t: split_recursively(t, size, overlap))
 
     kept = pages.where(F.coalesce(X.strip(F.col("text")), F.lit("")) != "")
-    pieces = kept.select("doc_id", "doc_name", "page", F.posexplode(split("text")).alias("pos", "text"))
-    w = Window.partitionBy("doc_id").orderBy("page", "pos")  # bounded by one document
-    return pieces.select("doc_id", "doc_name", "page", (F.row_number().over(w) - 1).alias("chunk_index"), "text")
+    pieces = kept.select("doc_id", "doc_name", "page", split("text").alias("pieces"))
+    w = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)  # over pages, not chunks
+    first = pieces.withColumn("first", F.coalesce(F.sum(F.size("pieces")).over(w), F.lit(0)).cast("int"))
+    return first.select("doc_id", "doc_name", "page", "first", F.posexplode("pieces").alias("pos", "text")).select("doc_id", "doc_name", "page", (F.col("first") + F.col("pos")).alias("chunk_index"), "text")
 
 
 def line_chunks(documents: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import answers as A
+from foliant.operators.ordering import numbered
 
 CONTEXT_LIMIT, DOCUMENT_LIMIT = 12_000, 3_000
 GAP_MARK = "[... contiguous content left out ...]"
 
 
 def _ordered(chunks: DataFrame) -> DataFrame:
-    """place from 0 and number of chunks of each document, in the order of page and index, missing ones as 0."""
-    order = (F.coalesce("page", F.lit(0)), F.coalesce("chunk_index", F.lit(0)))
-    w = Window.partitionBy("doc_id").orderBy(*order)  # bounded by one document
-    return chunks.withColumn("place", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
+    """place from 0 and number of chunks of each document, in the order of page and index, missing ones as 0; a block is a page and 4,096 indices of it."""
+    index = F.coalesce("chunk_index", F.lit(0))
+    block = F.struct(F.coalesce("page", F.lit(0)).alias("page"), F.floor(index / 4096).alias("part"))
+    return numbered(chunks, ["doc_id"], block, [index])
 
 
 def overview_sample(chunks: DataFrame, first: int = 5, last: int = 3) -> DataFrame:

@@ -63,9 +63,11 @@ def _distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
 
 
-def _nearest(df: DataFrame) -> DataFrame:
+def _nearest(df: DataFrame, questions: DataFrame) -> DataFrame:
+    """The candidates by distance. The literal limit lets each task drop all but that many of a question before the shuffle."""
+    most = max(15, 3 * (questions.agg(F.max("top_k")).first()[0] or 0))
     w = Window.partitionBy("query_id").orderBy("distance", "doc_id", "chunk_index")
-    ranked = df.withColumn("vector_rank", F.row_number().over(w))
+    ranked = df.withColumn("vector_rank", F.row_number().over(w)).where(F.col("vector_rank") <= most)
     return ranked.where(F.col("vector_rank") <= A.candidate_count(F.col("top_k")))
 
 
@@ -77,7 +79,7 @@ def candidates_in_scope(questions: DataFrame, vectors: DataFrame) -> DataFrame:
     """
     asked = questions.select("query_id", "top_k", "vector", F.explode(F.array_distinct("doc_ids")).alias("doc_id"))
     met = asked.join(vectors.select("doc_id", "chunk_index", "embedding"), "doc_id").where(F.size("vector") == F.size("embedding"))
-    return _nearest(met.select("query_id", "top_k", "doc_id", "chunk_index", _distance(F.col("vector"), F.col("embedding")).alias("distance")))
+    return _nearest(met.select("query_id", "top_k", "doc_id", "chunk_index", _distance(F.col("vector"), F.col("embedding")).alias("distance")), questions)
 
 
 def candidates(questions: DataFrame, vectors: DataFrame, block: int = QUESTION_BLOCK) -> DataFrame:
@@ -92,7 +94,7 @@ def candidates(questions: DataFrame, vectors: DataFrame, block: int = QUESTION_B
         found = _scan(part.toPandas(), vectors, questions)
         out = found if out is None else out.unionByName(found)
     assert out is not None
-    return _nearest(out)
+    return _nearest(out, questions)
 
 
 def _scan(asked: pd.DataFrame, vectors: DataFrame, questions: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from foliant.functions import answers as A
 from foliant.functions import render as R
 from foliant.functions import text as X
 from foliant.operators import catalog, chunking, compare, nested, retrieval
+from foliant.operators.ordering import numbered
 from foliant.plans.data_queries import ENTITY_SQL, OPTION_SQL, QUESTION_COUNT_SQL
 from foliant.session import cut_lineage, key_of, table
 from foliant.streaming import events
@@ -183,11 +184,12 @@ def mode_params(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transcript(spark: SparkSession, d: str) -> DataFrame:
-    """One text per conversation, messages in the order of time, then id."""
-    m = table(spark, d, "chat_messages").select(key_of("user_id").alias("user_id"), key_of("doc_id").alias("doc_id"), key_of("id").alias("id"), "role", "content", "timestamp").where("user_id is not null and doc_id is not null").distinct()
+    """Conversations as text in pages of 50 messages, in the order of time, then id. Days are the blocks of the order."""
+    m = table(spark, d, "chat_messages").select(key_of("user_id").alias("user_id"), key_of("doc_id").alias("doc_id"), key_of("id").alias("id"), "role", "content", F.coalesce("timestamp", F.lit("")).alias("t")).where("user_id is not null and doc_id is not null").distinct()
     line = F.concat(F.when(F.lower(F.trim("role")).isin("user", "human"), "User:").otherwise("AI Response:"), F.lit("\n"), F.coalesce("content", F.lit("")))
-    g = m.groupBy("user_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("timestamp", F.lit("")).alias("t"), "id", line.alias("b")))).alias("bs"))
-    return g.select("user_id", "doc_id", F.array_join(F.transform("bs", lambda x: x["b"]), "\n\n").alias("transcript"))
+    placed = numbered(m, ["user_id", "doc_id"], F.substring("t", 1, 10), ["t", "id"]).withColumn("page", F.floor(F.col("place") / 50).cast("int"))
+    g = placed.groupBy("user_id", "doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("b")))).alias("bs"))
+    return g.select("user_id", "doc_id", "page", F.array_join(F.transform("bs", lambda x: x["b"]), "\n\n").alias("transcript"))
 
 
 def analytics_repaired(spark: SparkSession, d: str) -> DataFrame:
@@ -376,13 +378,13 @@ def oracle_sql() -> dict[str, str]:
             select query_id, regexp_matches(lq, '^(?:{"|".join(retrieval.DEFINITION_PREFIXES)})') is_definition,
                    case when regexp_matches(lq, '^(?:{"|".join(retrieval.DEFINITION_PREFIXES)})') then trim(trim({_STRIP("regexp_replace(lq, '^(?:" + "|".join(retrieval.DEFINITION_PREFIXES) + ")', '')")}, '? .!'), ' ' || chr(9) || chr(10) || chr(13)) else lq end subject,
                    array_to_string(list_filter({_words("lq")}, lambda w: length(w) > 3 and w not in ('what', 'with', 'from', 'that')), ' ') content_words, array_to_string({_terms("question")}, ' ') terms from l""",
-        "vector_knn": _ranked() + f"select query_id, doc_id, chunk_index, vector_rank, round(distance, 6) distance, round(greatest(0.0, least(1.0, 1.0 - distance / 2.0)), 6) similarity from k where vector_rank <= 15",
+        "vector_knn": _ranked() + f"select query_id, doc_id, chunk_index, vector_rank::int vector_rank, round(distance, 6) distance, round(greatest(0.0, least(1.0, 1.0 - distance / 2.0)), 6) similarity from k where vector_rank <= 15",
         "bm25_scores": _ranked() + f"select query_id, doc_id, chunk_index, {five('keyword', 'keyword_norm')} from ranked",
-        "hybrid_rank": _ranked() + f'select query_id, doc_id, chunk_index, vector_rank, {five("keyword_norm", "pattern_boost", "subject_boost", "header_boost", "hybrid")}, "rank" from ranked',
-        "hybrid_threshold": _ranked() + f'select query_id, doc_id, chunk_index, "rank", {five("hybrid")} from ranked where "rank" <= 5 and round(hybrid, 9) >= 0.5',
+        "hybrid_rank": _ranked() + f'select query_id, doc_id, chunk_index, vector_rank::int vector_rank, {five("keyword_norm", "pattern_boost", "subject_boost", "header_boost", "hybrid")}, "rank"::int "rank" from ranked',
+        "hybrid_threshold": _ranked() + f'select query_id, doc_id, chunk_index, "rank"::int "rank", {five("hybrid")} from ranked where "rank" <= 5 and round(hybrid, 9) >= 0.5',
         "hybrid_rank_variant_a": _ranked(ranking=retrieval.VARIANT_A) + f"select query_id, doc_id, chunk_index, {five('pattern_boost', 'header_boost', 'hybrid')} from ranked",
         "hybrid_rank_variant_b": _ranked(ranking=retrieval.VARIANT_B) + f"select query_id, doc_id, chunk_index, {five('subject_boost', 'hybrid')} from ranked",
-        "search_scoped": _ranked(scoped=True) + f"select query_id, doc_id, chunk_index, vector_rank, {five('hybrid')} from ranked",
+        "search_scoped": _ranked(scoped=True) + f"select query_id, doc_id, chunk_index, vector_rank::int vector_rank, {five('hybrid')} from ranked",
         "search": _found() + f"select query_id, place::int place, doc_id, chunk_index, text, {five('hybrid')} from found",
         "search_confidence": _found() + f"""
             , g as (select query_id, floor(round(avg(greatest(0.0, least(1.0, hybrid))) * 100, 9))::int confidence, count(*)::int sources,
@@ -410,7 +412,7 @@ def oracle_sql() -> dict[str, str]:
         "assistant_sources": f"""select distinct {_key("id")} id, substring(content, 1, 60) start, array_to_string(list_transform(from_json(sources, '[{{"page": "INTEGER", "relevance": "DOUBLE"}}]'), lambda x: coalesce(x.page::varchar, '-')), ',') pages
             from chat_messages where lower(trim(role)) in ('assistant', 'ai', 'bot')""",
         "comparable_requests": "select count(*) requests from (select distinct pair_id from chat_pairs where len(doc_ids) >= 2 and trim(question) <> '')",
-        "neighbour_expand": f"with c as ({_CHUNKS}) select a.doc_id, a.chunk_index, length(b.text) next_length from c a left join c b on b.doc_id = a.doc_id and b.chunk_index = a.chunk_index + 1",
+        "neighbour_expand": f"with c as ({_CHUNKS}) select a.doc_id, a.chunk_index, length(b.text)::int next_length from c a left join c b on b.doc_id = a.doc_id and b.chunk_index = a.chunk_index + 1",
         "owner_documents": f"select {key_user} user_id, count(*) documents, sum(size)::bigint bytes from documents where {key_user} is not null group by 1",
         "ownership_violations": f"""
             with r as (select distinct pair_id request_id, {key_user} user_id, {_key("doc")} doc_id from (select pair_id, user_id, unnest(doc_ids) doc from chat_pairs))
@@ -419,9 +421,10 @@ def oracle_sql() -> dict[str, str]:
         "active_chats": f"select distinct {key_user} user_id, {key_doc} doc_id from chat_messages where {key_user} is not null and {key_doc} is not null",
         "history": f"select distinct id, \"role\", content, confidence, coalesce(json_array_length(sources), 0)::int n_sources, timestamp, {level('coalesce(confidence, 0)')} confidence_label from chat_messages",
         "transcript": f"""
-            with m as (select distinct {key_user} user_id, {key_doc} doc_id, {_key("id")} id, role, content, timestamp from chat_messages where {key_user} is not null and {key_doc} is not null)
-            select user_id, doc_id, string_agg(case when lower(trim(role)) in ('user', 'human') then 'User:' else 'AI Response:' end || chr(10) || coalesce(content, ''), chr(10) || chr(10)
-                   order by coalesce(timestamp, ''), id) transcript from m group by 1, 2""",
+            with m as (select distinct {key_user} user_id, {key_doc} doc_id, {_key("id")} id, role, content, coalesce(timestamp, '') t from chat_messages where {key_user} is not null and {key_doc} is not null),
+            p as (select *, row_number() over (partition by user_id, doc_id order by t, id) - 1 place from m)
+            select user_id, doc_id, (place // 50)::int page, string_agg(case when lower(trim(role)) in ('user', 'human') then 'User:' else 'AI Response:' end || chr(10) || coalesce(content, ''), chr(10) || chr(10) order by place) transcript
+            from p group by 1, 2, 3""",
         "upsert_latest": f"select {key_doc} doc_id, word_count, page_count, complexity_score from analytics where {key_doc} is not null qualify row_number() over (partition by {key_doc} order by loaded_at desc) = 1",
         "insert_absent": f"select distinct {key_user} id from documents where {key_user} is not null and {key_user} not in (select {_key('id')} from users where id is not null)",
         "cascade_delete": f"""
@@ -429,8 +432,8 @@ def oracle_sql() -> dict[str, str]:
             r as (select 'analytics' child, {key_doc} doc_id from analytics union all select 'quizzes', {key_doc} from quizzes union all select 'chat_messages', {key_doc} from chat_messages union all select 'chunks', {_key("metadata.doc_id")} from chunks)
             select child, doc_id, count(*) n from r where doc_id is not null and doc_id not in (select k from gone) group by all""",
         "analytics_named": f"select distinct {_key('a.doc_id')} doc_id, d.name doc_name, a.word_count, a.complexity_score from analytics a join documents d on {_key('d.id')} = {_key('a.doc_id')}",
-        "overview_sample": overview + " select doc_id, place, text from s",
-        "spread_sample": spread + " select doc_id, place, page, text from s",
+        "overview_sample": overview + " select doc_id, place::int place, text from s",
+        "spread_sample": spread + " select doc_id, place::int place, page, text from s",
         "overview_context": overview + " select doc_id, substring(string_agg(text, chr(10) || chr(10) order by place), 1, 12000) context from s group by 1",
         "quiz_context": spread + " select doc_id, substring(string_agg('[PAGE ' || page || ']: ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by place), 1, 12000) context from s group by 1",
         "intent_classes": f"""
