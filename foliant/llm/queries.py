@@ -70,7 +70,7 @@ def _ranked(name: str, condition: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    top = lambda name: f'select vec_id, "rank", other, round(s, 5) similarity from ({_ranked(name, "a.vec_id % 100 = 0")})'
+    top = lambda name: f'select vec_id, "rank"::int "rank", other, round(s, 5) similarity from ({_ranked(name, "a.vec_id % 100 = 0")})'
     return {
         "p1_found": f'select distinct least(vec_id, other) vec_a, greatest(vec_id, other) vec_b from ({_ranked("chunk_vectors", "true")}) where s >= 0.85',
         "p1_neighbours": top("chunk_vectors"),
