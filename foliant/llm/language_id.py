@@ -26,11 +26,11 @@ FIT_LENGTH = 20_000
 SURE = 0.6
 
 _LINE = re.compile(r"[^\r\n]+")
-_SENTENCE = re.compile(r"\S.*?(?:[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』）”]*|$)", re.S)
+_SENTENCE = re.compile(r"\S.*?(?:(?<![.!?…])[.!?…]++[\"'”’»)\]]*(?=\s|$)|(?<![。！？])[。！？]++[」』）”]*|$)", re.S)
 _WHOLE = re.compile(r"[.!?。！？…][\"'”’»)\]」』）]*$")
-_WORD = re.compile(r"[^\W\d_]+")
-_CJK = re.compile("[぀-ヿ㐀-鿿]")
-_WRAPPED = re.compile(r"(?<=[^\W\d_])-\s*[\r\n]+\s*(?=[^\W\d_])")
+_THREE_WORDS = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[\W\d_]++[^\W\d_]++){2}")
+_SIX_CJK = re.compile("(?:[぀-ヿ㐀-鿿][^぀-ヿ㐀-鿿]*){6}")
+_WRAPPED = re.compile(r"(?<=[^\W\d_])-[^\S\r\n]*+[\r\n]\s*+(?=[^\W\d_])")
 
 
 def units(text: str) -> list[tuple[int, int, bool]]:
@@ -52,14 +52,16 @@ def units(text: str) -> list[tuple[int, int, bool]]:
     for a, b in blocks:
         for m in _SENTENCE.finditer(text, a, b):
             piece = m.group()
-            whole = bool(_WHOLE.search(piece.rstrip())) and (len(_WORD.findall(piece)) >= 3 or len(_CJK.findall(piece)) >= 6)
+            whole = bool(_WHOLE.search(piece[-20:].rstrip())) and bool(_THREE_WORDS.search(piece) or _SIX_CJK.search(piece))
             out.append((m.start(), m.end(), whole))
     return out
 
 
 def windows_of(text: str) -> list[bytes]:
     """The bytes of a sentence, in lower case and in pieces of at most WINDOW; the last piece reaches back to be full."""
-    raw = re.sub(r"\s+", " ", _WRAPPED.sub("", text)).strip().lower().encode("utf-8", "replace")
+    if "\n" in text or "\r" in text:
+        text = _WRAPPED.sub("", text)
+    raw = " ".join(text.split()).lower().encode("utf-8", "replace")
     if len(raw) <= WINDOW:
         return [raw]
     return [raw[i : i + WINDOW] for i in range(0, len(raw) - WINDOW, WINDOW)] + [raw[-WINDOW:]]
