@@ -15,7 +15,7 @@ from foliant.llm.languages import CODE_OF, short_text_language
 DEFECTS = ("empty", "copied_question", "refusal", "truncated", "other_language")
 
 _INVISIBLE = re.compile("[­͏ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤⠀ㅤ︀-️﻿ﾠ]")
-_CITED = re.compile(r"\s*cited source indices\s*:[^\n]*", re.I)
+_CITED = re.compile(r"(?<!\s)\s*+cited source indices\s*+:[^\n]*", re.I)
 # What stands in an answer's place when there is none.
 _PLACEHOLDER = {"n a", "na", "nan", "null", "nil", "none", "tbd", "todo", "undefined", "placeholder", "no answer", "answer", "empty", "no content", "no response", "answer here", "your answer here"}
 _STOPS = ".!?。！？…"
