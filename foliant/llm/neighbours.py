@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -19,11 +19,16 @@ from foliant.session import cut_lineage
 FIT_ROWS = 20_000
 #: Vectors that a bucket should hold. It sets the length of the substrings: one bit more for twice as many vectors.
 BUCKET = 2048
-#: A bucket that would hold more than this many times BUCKET is divided, by a code of its own, into parts of at most that size.
-HOT = 8
+#: A bucket that would hold more than HOT times BUCKET is compared in blocks: pairs of parts of at most PART times BUCKET vectors.
+HOT, PART = 8, 6
 #: The number of substrings is such that a pair of this cosine similarity shares one with this probability.
-AIM_SIMILARITY, AIM_RECALL = 0.9, 0.985
-MAX_BITS, BLOCK = 20, 1024
+AIM_SIMILARITY, AIM_RECALL = 0.85, 0.985
+#: Where thresholds cut a dense cluster its pairs share less, so tables are added, up to this many times the number, until the sample's pairs do.
+GROWTH, PROBES = 3, 1000
+#: Rows and pairs of a bucket that are compared at once, and rows that are written at once.
+MAX_BITS, BLOCK, PAIRS, WRITTEN = 20, 1024, 1 << 22, 1 << 16
+#: What a row does in a block: is only found, only asks, does both with all others, or does both with the rows of the other part.
+FOUND, ASKS, BOTH, LOW, HIGH = range(5)
 
 
 def _rotation(x: np.ndarray, rng: np.random.Generator, bits: int, rounds: int = 30) -> np.ndarray:
@@ -36,15 +41,28 @@ def _rotation(x: np.ndarray, rng: np.random.Generator, bits: int, rounds: int =
     return r[:, rng.permutation(dim)[:bits]]
 
 
+def _probes(sample: np.ndarray, seed: int, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asks, near, real): vectors of the sample, the nearest others of each in it, and which of these are of AIM_SIMILARITY."""
+    asks = np.random.default_rng(seed).permutation(len(sample))[:PROBES]
+    s = sample[asks] @ sample.T
+    s[np.arange(len(asks)), asks] = -2
+    near = np.argsort(-s, axis=1)[:, :k] if s.shape[1] <= k else np.argpartition(-s, k - 1, axis=1)[:, :k]
+    return asks, near, np.take_along_axis(s, near, 1) >= AIM_SIMILARITY
+
+
 @dataclass
 class Codes:
-    """Substrings of ``bits`` bits each: directions and thresholds of every table, and finer codes of hot buckets."""
+    """Substrings of ``bits`` bits each: directions and thresholds of every table, and the parts of hot buckets.
+
+    ``finer`` has for each hot bucket (table, bucket), in the order of tables, the parts (first, number) of groups of its vectors: those that
+    were already together in an earlier hot bucket, by its place in ``finer``, and at -1 all others.
+    """
 
     bits: int
     tables: int
     directions: np.ndarray
     thresholds: np.ndarray
-    finer: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    finer: dict[tuple[int, int], dict[int, tuple[int, int]]] = field(default_factory=dict)
 
     @staticmethod
     def learn(sample: np.ndarray, n: int, seed: int = 7) -> Codes:
@@ -57,40 +75,104 @@ class Codes:
             return Codes(0, 1, np.zeros((dim, 0)), np.zeros(0))
         centred = sample - sample.mean(0)
         columns: list[np.ndarray] = []
-        while sum(c.shape[1] for c in columns) < bits * tables:  # each rotation gives as many bits as there are dimensions
-            columns.append(_rotation(centred, rng, dim))
-        directions = np.concatenate(columns, 1)[:, : bits * tables]
-        codes = Codes(bits, tables, directions, np.median(sample @ directions, 0))
-        share = n / len(sample)
+        share, most = n / len(sample), GROWTH * tables
+        asks, near, real = _probes(sample, seed)
+        while True:
+            while sum(c.shape[1] for c in columns) < bits * tables:  # each rotation gives as many bits as there are dimensions
+                columns.append(_rotation(centred, rng, dim))
+            directions = np.concatenate(columns, 1)[:, : bits * tables]
+            codes = Codes(bits, tables, directions, np.median(sample @ directions, 0))
+            if tables >= most or codes._shared(sample, asks, near, real, share) >= AIM_RECALL:
+                break
+            tables = min(most, tables + max(1, tables // 8))
+        met = np.full(len(sample), -1)
         for t, bucket_of in enumerate(codes.buckets(sample).T):
             for bucket, count in zip(*np.unique(bucket_of, return_counts=True)):
                 if count * share > HOT * BUCKET and count > 1:
-                    own = sample[bucket_of == bucket]
-                    depth = min(12, dim, math.ceil(math.log2(count * share / (HOT * BUCKET))))
-                    d = _rotation(own - own.mean(0), rng, depth)
-                    codes.finer[t, int(bucket)] = (d, np.median(own @ d, 0))
+                    rows = np.flatnonzero(bucket_of == bucket)
+                    sizes = {int(g): c * share for g, c in zip(*np.unique(met[rows], return_counts=True)) if g >= 0 and c * share >= PART * BUCKET}
+                    sizes = {-1: count * share - sum(sizes.values())} | sizes
+                    layout, first = {}, 0
+                    for g, size in sizes.items():
+                        layout[g] = first, max(1, math.ceil(size / (PART * BUCKET)))
+                        first += layout[g][1]
+                    met[rows[met[rows] < 0]] = len(codes.finer)
+                    codes.finer[t, int(bucket)] = layout
         return codes
 
+    def _shared(self, sample: np.ndarray, asks: np.ndarray, near: np.ndarray, real: np.ndarray, share: float) -> float:
+        """The part of the probed pairs that share a bucket: of those of vectors in hot buckets or of the others, whichever is less."""
+        own = self.buckets(sample)
+        hot = np.zeros(len(sample), bool)
+        for column in own.T:
+            _, inverse, counts = np.unique(column, return_inverse=True, return_counts=True)
+            hot |= counts[inverse] * share > HOT * BUCKET
+        shared = (own[asks][:, None, :] == own[near]).any(-1)
+        return min((shared[m].mean() for m in (real & hot[asks][:, None], real & ~hot[asks][:, None]) if m.any()), default=1.0)
+
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """The substring of each vector in each table, as a number."""
         signs = (x @ self.directions > self.thresholds).reshape(len(x), self.tables, self.bits)
         return signs @ (1 << np.arange(self.bits, dtype=np.int64))
 
-    def keys(self, x: np.ndarray, flips: int = 0) -> np.ndarray:
-        """The index key of each vector in each table; one column per table and substring within ``flips`` bits."""
-        own = self.buckets(x)
+    def _salts(self, x: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        return ((np.arange(len(x)) if ids is None else ids).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
+    def every(self, x: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, key, side): where each vector is compared, so that all that share a bucket meet.
+
+        In a hot bucket any two parts make a block. Parts of a group that was already together in an earlier hot bucket do not meet again.
+        """
+        own, salts = self.buckets(x), self._salts(x, ids)
+        keys = (np.arange(self.tables, dtype=np.int64) << 48) | (own << 28)
+        cool, met, out = np.ones(own.shape, bool), np.full(len(x), -1), []
+        for place, ((t, bucket), layout) in enumerate(self.finer.items()):
+            rows = np.flatnonzero(own[:, t] == bucket)
+            cool[rows, t] = False
+            group = np.where(np.isin(met[rows], list(layout)), met[rows], -1)
+            parts = sum(number for _, number in layout.values())
+            for g, (first, number) in layout.items():
+                mine = rows[group == g]
+                part = first + salts[mine] % number
+                for other in range(parts) if len(mine) else ():
+                    if g < 0 or not first <= other < first + number:
+                        block = np.minimum(part, other) * parts + np.maximum(part, other) + 1
+                        out.append((mine, keys[mine, t] | block, np.where(part == other, BOTH, np.where(part < other, LOW, HIGH))))
+            met[rows[met[rows] < 0]] = place
+        rows, t = np.nonzero(cool)
+        out.append((rows, keys[rows, t], np.full(len(rows), BOTH)))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def found(self, x: np.ndarray, ids: np.ndarray | None = None, spread: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, key, side) of vectors that queries, ``spread`` times as many as vectors, are to find: one part of a hot bucket each."""
+        return self._asked(x, ids, 0, spread, FOUND)
+
+    def asks(self, x: np.ndarray, ids: np.ndarray | None = None, flips: int = 0, spread: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, key, side) of queries, in each table at the substrings within ``flips`` bits: all parts of a hot bucket."""
+        return self._asked(x, ids, flips, spread, ASKS)
+
+    def _asked(self, x: np.ndarray, ids: np.ndarray | None, flips: int, spread: float, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own, salts = self.buckets(x), self._salts(x, ids)
         masks = [sum(1 << b for b in c) for r in range(min(flips, self.bits) + 1) for c in combinations(range(self.bits), r)]
-        out = np.empty((len(x), self.tables * len(masks)), np.int64)
+        out = []
         for t in range(self.tables):
-            for j, mask in enumerate(masks):
-                out[:, t * len(masks) + j] = (t << 40) | ((own[:, t] ^ mask) << 12)
-        for (t, bucket), (d, threshold) in self.finer.items():
-            key = (t << 40) | (bucket << 12)
-            part = out[:, t * len(masks) : (t + 1) * len(masks)]
-            rows, columns = np.nonzero(part == key)
-            if len(rows):
-                part[rows, columns] |= (x[rows] @ d > threshold) @ (1 << np.arange(d.shape[1], dtype=np.int64))
-        return out
+            hot = {bucket: sum(number for _, number in layout.values()) for (u, bucket), layout in self.finer.items() if u == t}
+            for mask in masks:
+                bucket_of = own[:, t] ^ mask
+                cool = np.flatnonzero(~np.isin(bucket_of, list(hot)))
+                out.append((cool, (t << 48) | (bucket_of[cool] << 28)))
+                for bucket, parts in hot.items():
+                    rows = np.flatnonzero(bucket_of == bucket)
+                    lots = max(1, math.ceil(parts * min(1.0, spread)))
+                    for i in range(parts if side == ASKS else lots):
+                        block = salts[rows] % lots * parts + i if side == ASKS else i * parts + salts[rows] % parts
+                        out.append((rows, (t << 48) | (bucket << 28) | (block + 1)))
+        rows, keys = (np.concatenate(c) for c in zip(*out))
+        return rows, keys, np.full(len(rows), side)
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """The index keys of the vectors, in any order."""
+        return self.every(x)[1]
 
 
 def comparable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -107,53 +189,55 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _encode(rows: DataFrame, codes: Codes, dim: int, flips: int, query: bool) -> DataFrame:
+def _encode(rows: DataFrame, place: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], dim: int) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 raw = np.asarray(part.column("embedding").flatten(), np.float32).reshape(part.num_rows, dim)
-                keys = codes.keys(_unit(raw), flips)
-                n = keys.shape[1]
-                data = np.repeat(raw, n, axis=0)
-                offsets = np.arange(0, (len(data) + 1) * dim * 4, dim * 4, dtype=np.int32)
-                vectors = pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
-                ids = pa.array(np.repeat(np.asarray(part.column("id")), n))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), ids, pa.array(np.full(len(data), query)), vectors], ["key", "id", "query", "vector"])
+                ids = np.asarray(part.column("id"))
+                placed = place(_unit(raw), ids)
+                for start in range(0, len(placed[0]), WRITTEN):
+                    where, keys, side = (c[start : start + WRITTEN] for c in placed)
+                    data = raw[where]
+                    offsets = np.arange(0, (len(data) + 1) * dim * 4, dim * 4, dtype=np.int32)
+                    vectors = pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[where]), pa.array(side.astype(np.int8)), vectors], ["key", "id", "side", "vector"])
 
-    return rows.select("id", "embedding").mapInArrow(batches, "key long, id long, query boolean, vector binary")
+    return rows.select("id", "embedding").mapInArrow(batches, "key long, id long, side byte, vector binary")
 
 
-def _best_in_bucket(dim: int, k: int, least: float | None, every: bool):
-    """For each query of a bucket its ``k`` most similar other vectors there; the similarity is computed in double precision."""
+def _best_in_bucket(dim: int, k: int, least: float | None):
+    """For each row of a bucket that asks, its ``k`` most similar other vectors there; the similarity is computed in double precision."""
 
     def best(bucket: pa.Table) -> pa.Table:
-        n, query = bucket.num_rows, bucket["query"].to_numpy()
+        n, side = bucket.num_rows, bucket["side"].to_numpy()
         ids, vectors = bucket["id"].to_numpy(), _unit(np.frombuffer(b"".join(bucket["vector"].to_pylist()), np.float32).reshape(n, dim))
-        asks = np.arange(n) if every else np.flatnonzero(query)
-        held = np.arange(n) if every else np.flatnonzero(~query)
         rough = vectors.astype(np.float32)
-        targets = rough[held].T.copy()
         out_rows, out_cols, out_sims = [], [], []
-        for at in range(0, len(asks), BLOCK) if len(held) else ():
-            a = asks[at : at + BLOCK]
-            s = rough[a] @ targets
-            s[ids[a][:, None] == ids[held][None, :]] = -2
-            if least is not None:
-                rows, cols = np.nonzero(s >= least - 1e-4)
-            else:
-                cols = np.argpartition(-s, k - 1, axis=1)[:, :k].ravel() if s.shape[1] > k else np.tile(np.arange(s.shape[1]), len(a))
-                rows = np.repeat(np.arange(len(a)), min(k, s.shape[1]))
-                real = s[rows, cols] > -2
-                rows, cols = rows[real], cols[real]
-            sims = np.einsum("ij,ij->i", vectors[a[rows]], vectors[held[cols]])
-            order = np.lexsort((ids[held[cols]], -sims, rows))
-            rows, cols, sims = rows[order], cols[order], sims[order]
-            first = np.searchsorted(rows, rows)
-            kept = np.arange(len(rows)) - first < k
-            out_rows.append(ids[a[rows[kept]]])
-            out_cols.append(ids[held[cols[kept]]])
-            out_sims.append(sims[kept])
+        for asking, answering in ((BOTH, BOTH), (ASKS, FOUND), (LOW, HIGH), (HIGH, LOW)):
+            asks, held = np.flatnonzero(side == asking), np.flatnonzero(side == answering)
+            targets = rough[held].T.copy()
+            step = max(1, min(BLOCK, PAIRS // max(1, len(held))))
+            for at in range(0, len(asks), step) if len(held) else ():
+                a = asks[at : at + step]
+                s = rough[a] @ targets
+                s[ids[a][:, None] == ids[held][None, :]] = -2
+                low = -1.5 if least is None else least - 1e-4
+                if s.shape[1] > k and (least is None or np.count_nonzero(s >= low) > 8 * k * len(a)):
+                    # all that may be among the k best in double precision
+                    low = np.maximum(low, np.partition(s, s.shape[1] - k, axis=1)[:, -k, None] - 1e-5)
+                rows, cols = np.nonzero(s >= low)
+                sims = np.empty(len(rows))
+                for b in range(0, len(rows), WRITTEN):
+                    sims[b : b + WRITTEN] = np.einsum("ij,ij->i", vectors[a[rows[b : b + WRITTEN]]], vectors[held[cols[b : b + WRITTEN]]])
+                order = np.lexsort((ids[held[cols]], -sims, rows))
+                rows, cols, sims = rows[order], cols[order], sims[order]
+                first = np.searchsorted(rows, rows)
+                kept = np.arange(len(rows)) - first < k
+                out_rows.append(ids[a[rows[kept]]])
+                out_cols.append(ids[held[cols[kept]]])
+                out_sims.append(sims[kept])
         rows, cols, sims = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((out_rows, np.int64), (out_cols, np.int64), (out_sims, float)))
         starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
         offsets = pa.array(np.append(starts, len(rows)), pa.int32())
@@ -170,7 +254,7 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, least: float | Non
     substrings share one (pigeonhole) and so does, very likely, any pair of similarity AIM_SIMILARITY; with ``flips`` bits of each of a
     query's substrings flipped the radius grows by as many substrings per bit. Vectors met in a bucket are reranked by cosine
     similarity of the floats. Substrings lengthen with the number of vectors, so that a bucket does not; buckets that are hot
-    in the sample have finer codes of their own.
+    in the sample are compared whole, in blocks of two parts, so no pair is lost there, at a cost that grows with their square.
 
     Equal vectors are indexed once. Of a group of them the k + 1 lowest ids can be among anyone's best k, ties going to the lower
     id, so no more are carried; the other members have the k lowest as their best. Rows that are null, of another length, not
@@ -195,12 +279,14 @@ def neighbours(vectors: DataFrame, k: int = 5, dim: int = 64, least: float | Non
 
     every = queries is None
     flips = flips if flips is not None else 0 if every else 1
-    index = _encode(reps, codes, dim, 0, every)
-    if not every:
+    if every and not flips:
+        index = _encode(reps, codes.every, dim)
+    else:
         # a group is asked for if any of its members is a query
-        asked = reps.join(members.where(queries).select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
-        index = index.unionByName(_encode(asked, codes, dim, flips, True))
-    lists = index.groupBy("key").applyInArrow(_best_in_bucket(dim, k, least, every), "id long, other array<long>, similarity array<double>")
+        asked = reps if every else reps.join(members.where(queries).select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+        spread = asked.count() / n if codes.finer else 0.0
+        index = _encode(reps, lambda x, ids: codes.found(x, ids, spread), dim).unionByName(_encode(asked, lambda x, ids: codes.asks(x, ids, flips, spread), dim))
+    lists = index.groupBy("key").applyInArrow(_best_in_bucket(dim, k, least), "id long, other array<long>, similarity array<double>")
     pairs = F.arrays_zip(F.transform("similarity", lambda s: -s).alias("s"), F.col("other").alias("o"))
     best = lists.select("id", pairs.alias("p")).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("p")).select("id", F.slice("p", 1, k).alias("p"))
 
