@@ -56,6 +56,7 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[in
     best, back = np.full(len(places), np.inf), np.zeros(len(places), np.int64)
     best[0] = 0.0
     first = np.searchsorted(places, places - limit)
+    room = np.diff(places) <= step  # the next boundary leaves room for the whole overlap, so none is lost after this one
     for j in range(1, len(places)):
         i = first[j]
         gap = places[j] - places[i:j]
@@ -63,6 +64,7 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[in
         if i:  # the first piece has no overlap to lose
             if overlap:
                 total = total + LOST_OVERLAP * np.maximum(gap - step, 0) / overlap
+                total[(gap > step) & room[i:j]] = np.inf
             if costs[j] >= FORCED:
                 total[gap > step] = np.inf
             else:

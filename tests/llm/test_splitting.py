@@ -53,6 +53,16 @@ def test_least_cost(seed):
     assert cost == pytest.approx(brute(text, 12, 3))
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_overlap_gives_way_only_where_no_boundary_leaves_room(seed):
+    rng = random.Random(seed)
+    text = "".join("x" * rng.choice([3, 20, 60, 120, 200, 340, 355, 390]) + rng.choice([" ", ". ", "\n", "\n\n"]) for _ in range(30))
+    places = S.boundaries(text)[0]
+    spans, _ = S.pieces_of(text)
+    for (_, a), (c, d) in zip(spans, spans[1:]):
+        assert a - c >= min(a, S.OVERLAP) or not ((places > a) & (places <= a + S.LIMIT - S.OVERLAP)).any()
+
+
 def test_exact_limits():
     assert S.pieces_of("x" * 400)[0] == [(0, 400)] and S.pieces_of("x" * 401)[1] and not S.pieces_of("x" * 400 + " " + "y" * 400)[1]
     assert S.pieces_of("x" * 400 + ".")[1] and not S.pieces_of("x" * 399 + "." + "y" * 400)[1]
