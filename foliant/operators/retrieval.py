@@ -106,17 +106,23 @@ def _scan(asked: pd.DataFrame, vectors: DataFrame, questions: DataFrame) -> Data
             pdf = pdf[[v is not None and len(v) == matrix.shape[1] for v in pdf["embedding"]]].reset_index(drop=True)
             if not len(pdf) or not len(matrix):
                 continue
+            pdf = pdf.sort_values(["doc_id", "chunk_index"], na_position="first", ignore_index=True)  # a place settles equal distances
             x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+            largest = (x * x).sum(1).max()
             for at in range(0, len(matrix), 256):
                 q = matrix[at : at + 256]
                 rough = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
                 k = min(len(x), max(15, 3 * int(tops.max())) + 5)
-                near = np.argpartition(rough, k - 1, axis=1)[:, :k]
-                exact = ((q[:, None, :] - x[near]) ** 2).sum(2)
-                hit = pdf.iloc[near.ravel()]
+                # all that may be among the k nearest, however many are equally near; then the cut by distance and place
+                slack = 1e-12 * ((q * q).sum(1)[:, None] + largest)
+                rows, cols = np.nonzero(~(rough > np.partition(rough, k - 1, axis=1)[:, k - 1, None] + slack))
+                exact = np.concatenate([((q[rows[a : a + 65_536]] - x[cols[a : a + 65_536]]) ** 2).sum(1) for a in range(0, len(rows), 65_536)])
+                order = np.lexsort((cols, exact, rows))
+                order = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
+                rows, exact, hit = rows[order], exact[order], pdf.iloc[cols[order]]
                 yield pd.DataFrame({
-                    "query_id": np.repeat(ids[at : at + 256], k), "top_k": np.repeat(tops[at : at + 256], k),
-                    "doc_id": hit["doc_id"].to_numpy(), "chunk_index": hit["chunk_index"].to_numpy(), "distance": exact.ravel(),
+                    "query_id": ids[at + rows], "top_k": tops[at + rows],
+                    "doc_id": hit["doc_id"].to_numpy(), "chunk_index": hit["chunk_index"].to_numpy(), "distance": exact,
                 })
 
     kind = questions.schema["query_id"].dataType.simpleString()

@@ -98,6 +98,19 @@ def test_blocks_and_scopes_agree(spark):
     assert retrieval.candidates(q.limit(0), v).count() == 0 and retrieval.candidates(q, v.limit(0)).count() == 0
 
 
+def test_more_equally_near_vectors_than_a_batch_keeps(spark):
+    """All but a few chunks have one embedding: the first by document and place win, wherever they lie in a batch."""
+    keys = [(f"d{i // 20:02d}", i % 20) for i in range(600)]
+    rows = [(d, i, [1.0, 0.0] if (d, i) != ("d29", 19) else [0.8, 0.6]) for d, i in reversed(keys)]
+    v = spark.createDataFrame(rows, "doc_id string, chunk_index int, embedding array<double>")
+    q = spark.createDataFrame([(0, "x", 4, [0.8, 0.6]), (1, "x", 4, [1.0, 0.0])], "query_id int, question string, top_k int, vector array<double>")
+    got = {}
+    for parts in (1, 7):
+        for r in retrieval.candidates(q, v.coalesce(1).repartition(parts)).orderBy("query_id", "vector_rank").collect():
+            got.setdefault((parts, r.query_id), []).append((r.doc_id, r.chunk_index))
+    assert got == {(p, i): ([("d29", 19)] if i == 0 else []) + keys[: 14 if i == 0 else 15] for p in (1, 7) for i in (0, 1)}
+
+
 SUBJECTS = {
     "Generative AI (GenAI) is a field": True, "generative ai, a subset of ML, refers to models": True, "Generative AI often is a field": True, "Generative AI in this area is a field": False, "Generative AIs is a field": False,
     "Generative AI referred to as é is a field": True,
