@@ -100,7 +100,7 @@ def compare_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compare_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Each question put to its own document and to the next one in the catalogue's order of keys."""
+    """Each question put to the first of the documents found and to one that does not exist. Real documents: :func:`compare_requested`."""
     results, chunks = _results(spark, d)
     results = cut_lineage(results)
     grouped = compare.by_document(results, chunks.select("doc_id", "chunk_index", "doc_name", "page"))
@@ -108,6 +108,22 @@ def compare_documents(spark: SparkSession, d: str) -> DataFrame:
     return compare.compared(asked, grouped).select("query_id", "doc_id", F.length("context").alias("length"))
 
 
+def compare_requested(spark: SparkSession, d: str) -> DataFrame:
+    """Each question put to the documents of the first request, among those for two or more, that names its own document; where none does, to its own
+    and to the next one in the catalogue's order of keys."""
+    keys = F.array_distinct(F.filter(F.transform("doc_ids", lambda x: key_of(x)), lambda x: x.isNotNull()))
+    requests = table(spark, d, "chat_pairs").where("pair_id is not null").select("pair_id", keys.alias("doc_ids")).where("size(doc_ids) >= 2")
+    named = requests.select(F.explode("doc_ids").alias("own"), "pair_id", "doc_ids").groupBy("own").agg(F.min(F.struct("pair_id", "doc_ids"))["doc_ids"].alias("doc_ids"))
+    own = _questions(spark, d, scoped=True).withColumn("own", F.element_at("doc_ids", 1)).drop("doc_ids")
+    known = numbered(_documents(spark, d).select(key_of("id").alias("own"), F.lit(0).alias("all")).where("own is not null").distinct(), ["all"], F.substring("own", 1, 3), ["own"]).select("own", "place")
+    following = known.join(known.select(F.col("own").alias("next"), (F.col("place") - 1).alias("place")), "place").select("own", "next")
+    asked = own.join(named, "own", "left").join(following, "own", "left").withColumn("doc_ids", F.coalesce("doc_ids", F.array_compact(F.array("own", "next"))))
+    questions, chunks = cut_lineage(asked.drop("own", "next")), _chunks(spark, d)
+    results = retrieval.search(questions, _vectors(spark, d), chunks, scoped=True)
+    grouped = compare.by_document(results, chunks.select("doc_id", "chunk_index", "doc_name", "page"))
+    return compare.compared(questions, grouped).select("query_id", "doc_id", F.length("context").alias("length"))
+
+
 def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
     pages = _documents(spark, d).select("doc_id", F.col("name").alias("doc_name"), F.lit(1).alias("page"), "text")
     return chunking.chunk_pages(pages).select("doc_id", "chunk_index", "text")
@@ -237,6 +253,7 @@ def queries() -> dict[str, Query]:
         "search_confidence": search_confidence,
         "compare_context": compare_context,
         "compare_documents": compare_documents,
+        "compare_requested": compare_requested,
         "owner_documents": doc(lambda df: df.select(key_of("user_id").alias("user_id"), "size").where("user_id is not null").groupBy("user_id").agg(F.count("*").alias("documents"), F.sum("size").alias("bytes"))),
         "ownership_violations": ownership_violations,
         "indexed_documents": indexed_documents,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import STOP_WORDS
 from foliant.operators import answering, compare, retrieval
+from foliant.plans import reference_queries
 from tests.test_text import plain_terms
 
 DIM = 8
@@ -158,3 +159,19 @@ def test_answers_from_end_to_end(spark):
     failed = {r.query_id: r.answer for r in answering.answer(q, v, c, [broken]).collect()}
     assert failed[1] == "Error: down"
     assert {r.query_id: r.answer for r in answering.answer(q, v, c, [broken, lambda ps: ["I am unable to find it."] * len(ps)]).collect()}[1] == "I am unable to find it."
+
+
+def test_questions_compare_the_real_documents_of_requests(spark):
+    d = "/root/testdata/sf0.01"
+    first = {}
+    for r in sorted(reference_queries.table(spark, d, "chat_pairs").select("pair_id", "doc_ids").where("pair_id is not null").collect(), key=lambda r: r.pair_id, reverse=True):
+        docs = {x.strip().lower() for x in r.doc_ids or [] if x and x.strip()}
+        if len(docs) >= 2:
+            first |= {x: docs for x in docs}
+    own = {r.query_id: r.doc_ids[0] for r in reference_queries._questions(spark, d, scoped=True).select("query_id", "doc_ids").collect()}
+    known = sorted({r.id.strip().lower() for r in reference_queries.table(spark, d, "documents").select("id").collect() if r.id and r.id.strip()})
+    following = dict(zip(known, known[1:]))
+    got = reference_queries.queries()["compare_requested"](spark, d).collect()
+    assert {(r.query_id, r.doc_id) for r in got} == {(q, x) for q, o in own.items() for x in first.get(o, {o, following.get(o, o)})} and {r.query_id for r in got} == set(own)
+    hit = [r for r in got if r.length != len("no direct mention")]
+    assert any(r.doc_id == own[r.query_id] for r in hit) and any(r.doc_id in known and r not in hit for r in got)
