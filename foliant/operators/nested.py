@@ -44,13 +44,13 @@ def latest(df: DataFrame, key: str, columns: list[str], at: str = "loaded_at") -
     return df.select(key_of(key).alias(key), at, *columns).where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(picked, order).alias("r")).select(key, "r.*")
 
 
-def _objects(items: Column, fields: str) -> Column:
+def _objects(items: Column, fields: str, whole: bool = False) -> Column:
     """(item_no, o) per element that is an object: its place and its fields; other elements give none but keep their places.
 
-    The transforms are nested, not one lambda, so that no JSON is parsed once per field.
+    The transforms are nested, not one lambda, so that no JSON is parsed once per field. With ``whole`` the JSON stays, as ``json``.
     """
     placed = F.filter(F.transform(items, lambda x, i: F.struct(i.alias("item_no"), x.alias("json"))), lambda p: p["json"].startswith("{"))
-    return F.transform(placed, lambda p: F.struct(p["item_no"].alias("item_no"), F.from_json(p["json"], fields).alias("o")))
+    return F.transform(placed, lambda p: F.struct(p["item_no"].alias("item_no"), F.from_json(p["json"], fields).alias("o"), *([p["json"].alias("json")] if whole else [])))
 
 
 def _page(text: Column) -> Column:
@@ -105,19 +105,28 @@ def _subs() -> Column:
 
 #: Fields that may hold an alert's text, in order of preference.
 ALERT_TEXT = ("content", "text", "description", "message", "note")
+#: Text of an alert that has none.
+ALERT_DEFAULT = "Key metric highlighted in document."
+
+
+def _other_text(json: Column) -> Column:
+    """The first string of an object, in the order written, that is not empty nor its type or page."""
+    fields = F.map_entries(F.from_json(json, "map<string,variant>"))
+    texts = F.filter(fields, lambda f: ~f["key"].isin("type", "page") & (F.schema_of_variant(f["value"]) == "STRING") & (F.try_variant_get(f["value"], "$", "string") != ""))
+    return F.try_variant_get(F.get(texts, F.lit(0))["value"], "$", "string")
 
 
 def alerts(analytics: DataFrame) -> DataFrame:
-    """(doc_id, item_no, type, content, page): the alerts of each document's latest row, with the text from whichever field holds it."""
+    """(doc_id, item_no, type, content, page): the alerts of each document's latest row, with the text from whichever field holds it: the known ones, else the first other string, else a default."""
 
     def build(e: Column) -> Column:
         o = e["o"]
-        text = F.coalesce(*[F.when(o[f] != "", o[f]) for f in ALERT_TEXT])
+        text = F.coalesce(*[F.when(o[f] != "", o[f]) for f in ALERT_TEXT], _other_text(e["json"]), F.lit(ALERT_DEFAULT))
         return F.struct(e["item_no"].alias("item_no"), F.coalesce(o["type"], F.lit("insight")).alias("type"), text.alias("content"), _page(o["page"]).alias("page"))
 
     rows = json_items(latest(analytics, "doc_id", ["alerts"]), "alerts", "alerts")
     fields = "type string, page string, " + ", ".join(f"{f} string" for f in ALERT_TEXT)
-    return rows.select("doc_id", F.inline(F.transform(_objects(F.col("items"), fields), build)))
+    return rows.select("doc_id", F.inline(F.transform(_objects(F.col("items"), fields, whole=True), build)))
 
 
 def question_tree(quizzes: DataFrame) -> DataFrame:

@@ -92,3 +92,9 @@ def test_latest_row_ties_and_missing_keys(spark):
 def test_empty_table_and_long_text(spark):
     assert nested.flat_rows(rows(spark).limit(0), rows(spark).limit(0)).count() == 0
     assert nested.alerts(rows(spark, json.dumps([{"text": "z" * 300_000, "page": "p. 4"}]))).select("page").collect()[0][0] == 4
+
+
+def test_alert_text_under_other_keys_and_default(spark):
+    given = [{"type": "t", "page": "2", "n": 3, "e": "", "zeta": "first", "alpha": "second"}, {"type": "t", "n": 3, "o": {"q": "x"}, "l": ["y"], "z": None}, {"content": "", "zeta": "other"}, {"zeta": "other", "note": "known"}]
+    got = nested.alerts(rows(spark, json.dumps(given))).select("item_no", "content").collect()
+    assert sorted(map(tuple, got)) == [(0, "first"), (1, nested.ALERT_DEFAULT), (2, "other"), (3, "known")]
