@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "p4_pieces": lambda spark, d: splitting.split_chunks(table(spark, d, "chunks")),
         "p6_found": lambda spark, d: conversations.dropped(table(spark, d, "chat_messages")),
         "p6_conversations": lambda spark, d: conversations.conversations(table(spark, d, "chat_messages")),
+        "p6_linked": lambda spark, d: conversations.dropped(m := table(spark, d, "chat_messages"), conversations.reply_links(m)),
         "p7_ids": lambda spark, d: tokenizer.encode_corpus(table(spark, d, "documents")),
         "p8_found": lambda spark, d: leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items")),
         "p8_spans": lambda spark, d: leakage.removal_spans(table(spark, d, "documents"), table(spark, d, "eval_items")),
@@ -35,17 +36,28 @@ def queries() -> dict[str, Query]:
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
 _UNSEEN = "[\\s\\p{Z}\\p{Cc}\\p{Cf}\\x{2800}\\x{3164}\\x{115f}\\x{1160}\\x{ffa0}\\x{034f}\\x{fe0e}\\x{fe0f}]"
 
-P6_MESSAGES = f"""
-  select lower(trim(user_id, {_BLANKS})) user_id, lower(trim(doc_id, {_BLANKS})) doc_id, lower(trim(id, {_BLANKS})) id, content,
+_key = lambda c: f"nullif(lower(trim({c}, {_BLANKS})), '')"
+_SPOKEN = f"""{_key("id")} id, content,
     case when lower(trim(role, {_BLANKS})) in ('user', 'human') then 0 when lower(trim(role, {_BLANKS})) in ('assistant', 'ai', 'bot') then 1
          when lower(trim(role, {_BLANKS})) = 'system' then 2 else 3 end kind,
     case when regexp_full_match(timestamp, '\\d{{1,11}}') then make_timestamp(timestamp::bigint * 1000000) else try_cast(replace(timestamp, 'T', ' ') as timestamp) end at_,
-    coalesce(regexp_replace(content, '{_UNSEEN}', '', 'g') <> '', false) text
-  from chat_messages where trim(user_id, {_BLANKS}) <> '' and trim(doc_id, {_BLANKS}) <> ''
-  qualify row_number() over (partition by lower(trim(id, {_BLANKS})) order by loaded_at desc) = 1
+    coalesce(regexp_replace(content, '{_UNSEEN}', '', 'g') <> '', false) text"""
+P6_MESSAGES = f"""
+  select {_key("user_id")} user_id, {_key("doc_id")} doc_id, {_SPOKEN} from chat_messages where {_key("user_id")} is not null and {_key("doc_id")} is not null
+  qualify row_number() over (partition by {_key("id")} order by loaded_at desc) = 1
+"""
+#: Messages that lack a user or a document take the key of the one that they follow within ten minutes.
+P6_LINKED = f"""
+  with raw as (select {_key("user_id")} u, {_key("doc_id")} d, {_SPOKEN} from chat_messages qualify row_number() over (partition by {_key("id")} order by loaded_at desc) = 1),
+  met as (select a.id, b.u, b.d, row_number() over (partition by a.id order by b.at_ desc, b.id desc) n from raw a join raw b on (a.u = b.u or a.d = b.d) and b.id <> a.id and b.at_ <= a.at_ and b.at_ >= a.at_ - interval 10 minute
+          where (a.u is null) <> (a.d is null) and b.u is not null and b.d is not null)
+  select coalesce(met.u, raw.u) user_id, coalesce(met.d, raw.d) doc_id, raw.id, content, kind, at_, text from raw left join met on met.id = raw.id and met.n = 1 where coalesce(met.u, raw.u) is not null and coalesce(met.d, raw.d) is not null
 """
-P6_JUDGED = f"""
-with m as ({P6_MESSAGES}),
+
+
+def _judged(messages: str) -> str:
+    return f"""
+with m as ({messages}),
 spoken as (select *, lag(kind) over w prev, lead(kind) over w nxt, lead(text) over w nxt_text from m where kind <> 2
   window w as (partition by user_id, doc_id order by at_, kind, id)),
 c as (select user_id, doc_id, count(*) filter (kind <> 2 and text) texts, count(*) filter (kind = 3 or (kind <> 2 and at_ is null) or (kind = 0 and not text)) bad from m group by all),
@@ -85,9 +97,10 @@ def oracle_sql() -> dict[str, str]:
             v as (select item_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') l from eval_items where text is not null),
             e as (select distinct item_id, unnest(list_transform(range(1, len(l) - 10), lambda i: array_to_string(list_slice(l, i, i + 11), ' '))) g from v where len(l) >= 12)
             select distinct doc_id, item_id from d join e using (g)""",
-        "p6_found": f"select * from ({P6_JUDGED}) where reason is not null",
+        "p6_found": f"select * from ({_judged(P6_MESSAGES)}) where reason is not null",
+        "p6_linked": f"select * from ({_judged(P6_LINKED)}) where reason is not null",
         "p6_conversations": f"""
-            with j as ({P6_JUDGED}), m as ({P6_MESSAGES})
+            with j as ({_judged(P6_MESSAGES)}), m as ({P6_MESSAGES})
             select m.user_id, m.doc_id, row_number() over (partition by m.user_id, m.doc_id order by at_, kind, id) - 1 seq, id,
                    case kind when 0 then 'user' else 'assistant' end "role", content, at_ "at"
             from m join j on j.user_id = m.user_id and j.doc_id = m.doc_id and j.reason is null where kind < 2""",
