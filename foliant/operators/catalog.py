@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import answers as A
+from foliant.functions.times import DAY, time_micros
+from foliant.operators.ordering import numbered
 from foliant.session import key_of
 
 
@@ -36,6 +38,18 @@ def remove(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def delete_documents(requests: DataFrame, documents: DataFrame, children: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(allowed, tables left) for requests (user_id, doc_id) to delete: only an owner's own documents go, with all rows that belong to them.
+
+    The tables left are ``children``, by their doc_id, and ``documents``. Vectors of the allowed documents go by :func:`foliant.sources.vectors.delete`.
+    """
+    asked = requests.select(key_of("user_id").alias("user_id"), key_of("doc_id").alias("doc_id")).distinct()
+    held = documents.select(key_of("id").alias("doc_id"), key_of("user_id").alias("user_id")).where("doc_id is not null and user_id is not null").distinct()
+    allowed = asked.join(held, ["doc_id", "user_id"], "left_semi").select("doc_id").distinct()
+    left = cascade(allowed, {name: child.withColumn("doc_id", key_of("doc_id")) for name, child in children.items()})
+    return allowed, left | {"documents": documents.join(allowed.withColumnRenamed("doc_id", "_gone"), key_of("id") == F.col("_gone"), "left_anti")}
+
+
 def cascade(gone: DataFrame, children: dict[str, DataFrame], key: str = "doc_id") -> dict[str, DataFrame]:
     """Each child table without the rows that belong to deleted documents."""
     return {name: remove(child, gone, [key]) for name, child in children.items()}
@@ -66,11 +80,31 @@ def active_chats(messages: DataFrame) -> DataFrame:
     return messages.select(key_of("user_id").alias("user_id"), key_of("doc_id").alias("doc_id")).where("user_id is not null and doc_id is not null").distinct()
 
 
+def ordered_messages(messages: DataFrame) -> DataFrame:
+    """The messages of each user and document with their place, ``seq`` from 0: by time, then the user before others, then by id; unreadable times last.
+
+    Of rows with the same id the one loaded last counts; rows without user, document or id go. Days are the blocks of the order, so that a conversation with a
+    third of all rows is sorted in as many tasks as it has days.
+    """
+    keyed = messages.withColumns({k: key_of(k) for k in ("id", "user_id", "doc_id")}).where("id is not null and user_id is not null and doc_id is not null")
+    rows = current(keyed, ["id"], "loaded_at").withColumns({"_at": time_micros(F.col("timestamp")), "_kind": F.when(F.lower(F.trim("role")).isin("user", "human"), 0).otherwise(1)})
+    day = F.coalesce(F.floor(F.col("_at") / DAY), F.lit(1 << 40))
+    return numbered(rows, ["user_id", "doc_id"], day, [F.col("_at").asc_nulls_last(), "_kind", "id"]).drop("_at", "_kind", "n").withColumnRenamed("place", "seq")
+
+
+def append_messages(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """New messages as rows to append: each with the ``seq`` that follows on the last one stored of its user and document. Ids that are stored already add nothing."""
+    last = stored.groupBy("user_id", "doc_id").agg((F.max("seq") + 1).alias("_next"))
+    fresh = ordered_messages(rows.withColumn("id", key_of("id")).join(stored.select("id"), "id", "left_anti"))
+    return fresh.join(last, ["user_id", "doc_id"], "left").withColumn("seq", F.col("seq") + F.coalesce("_next", F.lit(0))).drop("_next")
+
+
 def history(messages: DataFrame) -> DataFrame:
-    """Messages as shown again: sources decoded and counted, and the label that the stored confidence has."""
+    """Messages as shown again, with any ``seq`` and keys that they have: sources decoded and counted, and the label that the stored confidence has."""
     source = "array<struct<text: string, page: int, doc_id: string, doc_name: string, relevance: double>>"
     decoded = F.from_json("sources", source)
-    return messages.select("id", "role", "content", "confidence", decoded.alias("sources"), F.coalesce(F.size(decoded), F.lit(0)).alias("n_sources"), "timestamp", A.level(F.coalesce("confidence", F.lit(0))).alias("confidence_label"))
+    placed = [c for c in ("user_id", "doc_id", "seq") if c in messages.columns]
+    return messages.select(*placed, "id", "role", "content", "confidence", decoded.alias("sources"), F.coalesce(F.size(decoded), F.lit(0)).alias("n_sources"), "timestamp", A.level(F.coalesce("confidence", F.lit(0))).alias("confidence_label"))
 
 
 def named(child: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:

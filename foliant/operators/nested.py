@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from foliant.session import key_of
 
-_PLACES = "array<struct<child: string, item_no: int, sub_no: int>>"
 _SPACE = "[\\s﻿ ]"
 
 
@@ -162,19 +161,72 @@ def questions(tree: DataFrame) -> DataFrame:
     return tree.select("doc_id", F.inline(F.transform("items", lambda e: F.struct(*[e[n].alias(n) for n in names]))))
 
 
+#: What a quiz holds where its JSON cannot be read, and what a question has where a field is absent. Difficulty and page.
+FALLBACK_QUESTION = {"question": "What is the main subject of this document?", "correct": "Its main subject", "difficulty": "Medium", "page_ref": 1}
+
+
+def repaired_questions(quizzes: DataFrame) -> DataFrame:
+    """(doc_id, item_no, question_id, question, correct, difficulty, page_ref): the questions of every quiz, absent fields filled in.
+
+    A quiz that is null, unreadable, cut off or holds an element that is no object is replaced as a whole by one stand-in question; an empty list stays empty.
+    """
+    fill = FALLBACK_QUESTION
+    fields = "id string, question string, correct string, difficulty string, page_ref string"
+    rows = json_items(latest(quizzes, "doc_id", ["questions"]), "questions", "questions")
+    sound = F.coalesce(F.forall("items", lambda x: x.startswith("{")), F.lit(False))
+
+    def build(p: Column) -> Column:
+        o = p["o"]
+        return F.struct(
+            p["item_no"].alias("item_no"), F.coalesce(o["id"].try_cast("int"), p["item_no"] + 1).alias("question_id"), F.coalesce(o["question"], F.lit(fill["question"])).alias("question"),
+            F.coalesce(o["correct"], F.lit("")).alias("correct"), F.coalesce(o["difficulty"], F.lit(fill["difficulty"])).alias("difficulty"), F.coalesce(_page(o["page_ref"]), F.lit(fill["page_ref"])).alias("page_ref"),
+        )
+
+    stand_in = F.array(F.struct(F.lit(0).alias("item_no"), F.lit(1).alias("question_id"), *[F.lit(fill[c]).alias(c) for c in ("question", "correct", "difficulty", "page_ref")]))
+    items = F.when(sound, F.transform(_objects(F.col("items"), fields), build)).otherwise(stand_in)
+    return rows.select("doc_id", F.inline(items))
+
+
+def analytics_record(analytics: DataFrame) -> DataFrame:
+    """(doc_id, word_count, complexity_score, summary, suggested_questions, entities, alerts): each document's latest analytics, decoded.
+
+    Lists of texts are arrays; entities and alerts are counted. JSON that is null, unreadable or cut off gives the fail-safe record: one line of summary
+    that says so, no questions, entities or alerts; an absent complexity is Medium.
+    """
+    columns = ["word_count", "complexity_score", "summary", "suggested_questions", "entities", "alerts"]
+    rows = latest(analytics, "doc_id", columns)
+
+    def texts(column: str) -> DataFrame:
+        return json_items(rows.select("doc_id", column), column, column).withColumnRenamed("items", column)
+
+    # wrappings differ by column, so each is unwrapped by itself; the keys are partitioned alike and joins move nothing more
+    plain = rows.select("doc_id", "word_count", F.coalesce("complexity_score", F.lit("Medium")).alias("complexity_score"))
+    for column in columns[2:]:
+        plain = plain.join(texts(column), "doc_id")
+    objects = lambda c: F.coalesce(F.size(F.filter(c, lambda x: x.startswith("{"))), F.lit(0))
+    none = F.array().cast("array<string>")
+    return plain.select(
+        "doc_id", "word_count", "complexity_score", F.coalesce("summary", F.array(F.lit(NO_SUMMARY))).alias("summary"), F.coalesce("suggested_questions", none).alias("suggested_questions"),
+        objects("entities").alias("entities"), objects("alerts").alias("alerts"),
+    )
+
+
+#: The summary of a document whose analytics cannot be read.
+NO_SUMMARY = "No summary could be made of this document."
+
+
 def options(tree: DataFrame) -> DataFrame:
     """(doc_id, item_no, sub_no, label, text, is_correct): one row per option, tied to its question by item_no."""
     return tree.select("doc_id", F.inline(F.flatten(_subs())))
 
 
 def flat_rows(analytics: DataFrame, quizzes: DataFrame) -> DataFrame:
-    """(child, doc_id, item_no, sub_no) of all five flat tables; sub_no is -1 where a row has no inner place."""
-
-    def places(tree: DataFrame, item: str, sub: str) -> DataFrame:
-        outer = lambda e: F.array(F.struct(F.lit(item).alias("child"), e["item_no"].alias("item_no"), F.lit(-1).alias("sub_no")))
-        inner = lambda e: F.transform(e["subs"], lambda m: F.struct(F.lit(sub).alias("child"), m["item_no"].alias("item_no"), m["sub_no"].alias("sub_no")))
-        return tree.select("doc_id", F.inline(F.flatten(F.transform("items", lambda e: F.concat(outer(e), F.coalesce(inner(e), F.array().cast(_PLACES)))))))
-
-    alone = alerts(analytics).select(F.lit("alert").alias("child"), "doc_id", "item_no", F.lit(-1).alias("sub_no"))
-    rows = places(entity_tree(analytics), "entity", "mention").unionByName(places(question_tree(quizzes), "question", "option")).unionByName(alone)
-    return rows.select("child", "doc_id", F.col("item_no").cast("int").alias("item_no"), F.col("sub_no").cast("int").alias("sub_no"))
+    """(child, doc_id, item_no, sub_no) of all five flat tables, each from its own operator; sub_no is -1 where a row has no inner place."""
+    trees = entity_tree(analytics), question_tree(quizzes)
+    tables = {"entity": entities(trees[0]), "mention": mentions(trees[0]), "alert": alerts(analytics), "question": questions(trees[1]), "option": options(trees[1])}
+    out: DataFrame | None = None
+    for child, rows in tables.items():
+        inner = F.col("sub_no") if "sub_no" in rows.columns else F.lit(-1)
+        part = rows.select(F.lit(child).alias("child"), "doc_id", F.col("item_no").cast("int").alias("item_no"), inner.cast("int").alias("sub_no"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -117,6 +117,21 @@ QUESTION_COUNT_SQL = f"with {_QUESTIONS} select doc_id, count(*) questions from
 OPTION_SQL = f"with {_QUESTIONS}, {_OPTIONS} select doc_id, item_no, sub_no, x.label label, x.text as text, x.text = correct is_correct from o"
 
 
+_fill = {k: f"'{v}'" if isinstance(v, str) else v for k, v in nested.FALLBACK_QUESTION.items()}
+REPAIRED_SQL = f"""with {_QUESTIONS},
+    sound as (select doc_id, l is not null and (len(l) = 0 or list_bool_and(list_transform(l, lambda x: json_type(x) = 'OBJECT'))) ok from q_5)
+    select doc_id, item_no, coalesce(try_cast(o ->> 'id' as int), item_no + 1) question_id, coalesce(o ->> 'question', {_fill["question"]}) question, coalesce(o ->> 'correct', '') correct,
+           coalesce(o ->> 'difficulty', {_fill["difficulty"]}) difficulty, coalesce({_PAGE.format("o ->> 'page_ref'")}, {_fill["page_ref"]}) page_ref from q join sound using (doc_id) where ok
+    union all select doc_id, 0, 1, {_fill["question"]}, {_fill["correct"]}, {_fill["difficulty"]}, {_fill["page_ref"]} from sound where not ok"""
+_LISTS = {c: _items("analytics", c, f"{c[0]}l") for c in ("summary", "suggested_questions", "entities", "alerts")}
+_LISTS["suggested_questions"] = _items("analytics", "suggested_questions", "nl")
+RECORD_SQL = f"""with {", ".join(_LISTS.values())},
+    l as (select {_key("doc_id")} doc_id, word_count, coalesce(complexity_score, 'Medium') complexity_score from analytics where {_key("doc_id")} is not null qualify row_number() over (partition by {_key("doc_id")} order by loaded_at desc) = 1)
+    select l.*, coalesce(array_to_string(list_transform(sl_5.l, lambda x: x ->> '$'), '|'), '{nested.NO_SUMMARY}') summary, coalesce(array_to_string(list_transform(nl_5.l, lambda x: x ->> '$'), '|'), '') suggested_questions,
+           coalesce(len(list_filter(el_5.l, lambda x: json_type(x) = 'OBJECT')), 0)::int entities, coalesce(len(list_filter(al_5.l, lambda x: json_type(x) = 'OBJECT')), 0)::int alerts
+    from l join sl_5 using (doc_id) join nl_5 using (doc_id) join el_5 using (doc_id) join al_5 using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     texts = ", ".join(f"nullif(o ->> '{f}', '')" for f in nested.ALERT_TEXT)
     return {

@@ -12,7 +12,7 @@ from foliant.functions import render as R
 from foliant.functions import text as X
 from foliant.operators import catalog, chunking, compare, nested, retrieval
 from foliant.operators.ordering import numbered
-from foliant.plans.data_queries import ENTITY_SQL, OPTION_SQL, QUESTION_COUNT_SQL
+from foliant.plans.data_queries import ENTITY_SQL, OPTION_SQL, QUESTION_COUNT_SQL, RECORD_SQL, REPAIRED_SQL
 from foliant.session import cut_lineage, key_of, table
 from foliant.streaming import events
 
@@ -37,11 +37,12 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def _questions(spark: SparkSession, d: str, scoped: bool = False) -> DataFrame:
     """A question for every vector whose vec_id is divisible by 100: its text asks for two words of the vector's chunk."""
-    asked = _vectors(spark, d).where("vec_id % 100 = 0").join(_chunks(spark, d), ["doc_id", "chunk_index"])
+    asked = _vectors(spark, d).where("vec_id % 100 = 0").join(_chunks(spark, d).select("doc_id", "chunk_index", "text"), ["doc_id", "chunk_index"])
     word = lambda i: F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(i))
     question = F.concat(F.lit("What is "), word(3), F.lit(" "), word(4), F.lit("?"))
     columns = [F.col("vec_id").alias("query_id"), question.alias("question"), F.lit(5).alias("top_k"), F.col("embedding").alias("vector")]
-    return asked.select(*columns, *([F.array("doc_id").alias("doc_ids")] if scoped else []))
+    # written once: their number, their most results and their vectors are each asked for before the search begins
+    return cut_lineage(asked.select(*columns, *([F.array("doc_id").alias("doc_ids")] if scoped else [])))
 
 
 def _scored(spark: SparkSession, d: str, ranking: retrieval.Ranking = retrieval.Ranking(), scoped: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -150,6 +151,18 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def delete_owned(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each table left when every request's user deletes the documents it names: only those that are the user's own go."""
+    requests = table(spark, d, "chat_pairs").select("user_id", F.explode("doc_ids").alias("doc_id"))
+    children = {n: table(spark, d, n).select("doc_id") for n in ("analytics", "quizzes", "chat_messages")}
+    _, left = catalog.delete_documents(requests, _documents(spark, d).select("id", "user_id"), children)
+    out = None
+    for name, rows in left.items():
+        part = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("child"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def insert_absent(spark: SparkSession, d: str) -> DataFrame:
     """Owners of documents that the table of users does not hold."""
     asked = _documents(spark, d).select(key_of("user_id").alias("id")).where("id is not null")
@@ -200,11 +213,10 @@ def mode_params(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transcript(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as text in pages of 50 messages, in the order of time, then id. Days are the blocks of the order."""
-    m = table(spark, d, "chat_messages").select(key_of("user_id").alias("user_id"), key_of("doc_id").alias("doc_id"), key_of("id").alias("id"), "role", "content", F.coalesce("timestamp", F.lit("")).alias("t")).where("user_id is not null and doc_id is not null").distinct()
+    """Conversations as text in pages of 50 messages, in their order, each message as loaded last."""
     line = F.concat(F.when(F.lower(F.trim("role")).isin("user", "human"), "User:").otherwise("AI Response:"), F.lit("\n"), F.coalesce("content", F.lit("")))
-    placed = numbered(m, ["user_id", "doc_id"], F.substring("t", 1, 10), ["t", "id"]).withColumn("page", F.floor(F.col("place") / 50).cast("int"))
-    g = placed.groupBy("user_id", "doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("b")))).alias("bs"))
+    placed = catalog.ordered_messages(table(spark, d, "chat_messages").select("id", "user_id", "doc_id", "role", "content", "timestamp", "loaded_at")).withColumn("page", F.floor(F.col("seq") / 50).cast("int"))
+    g = placed.groupBy("user_id", "doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("b")))).alias("bs"))
     return g.select("user_id", "doc_id", "page", F.array_join(F.transform("bs", lambda x: x["b"]), "\n\n").alias("transcript"))
 
 
@@ -258,7 +270,7 @@ def queries() -> dict[str, Query]:
         "ownership_violations": ownership_violations,
         "indexed_documents": indexed_documents,
         "active_chats": lambda s, d: catalog.active_chats(table(s, d, "chat_messages")),
-        "history": lambda s, d: catalog.history(table(s, d, "chat_messages")).select("id", "role", "content", "confidence", "n_sources", "timestamp", "confidence_label").distinct(),
+        "history": lambda s, d: catalog.history(catalog.ordered_messages(table(s, d, "chat_messages"))).drop("sources"),
         "transcript": transcript,
         "upsert_latest": upsert_latest,
         "insert_absent": insert_absent,
@@ -270,6 +282,9 @@ def queries() -> dict[str, Query]:
         "overview_context": lambda s, d: compare.joined_context(compare.overview_sample(_chunks(s, d)), F.coalesce("text", F.lit("")), "\n\n"),
         "quiz_context": lambda s, d: compare.joined_context(compare.spread_sample(_chunks(s, d)), F.concat(F.lit("[PAGE "), F.col("page").cast("string"), F.lit("]: "), F.coalesce("text", F.lit(""))), "\n\n---\n\n"),
         "quiz_score": quiz_score,
+        "quiz_repaired": lambda s, d: nested.repaired_questions(table(s, d, "quizzes")),
+        "analytics_record": lambda s, d: nested.analytics_record(table(s, d, "analytics")).withColumns({c: F.array_join(c, "|") for c in ("summary", "suggested_questions")}),
+        "delete_owned": delete_owned,
         "intent_classes": intent_classes,
         "mode_params": mode_params,
         "answer_parts": answer_parts,
@@ -278,6 +293,7 @@ def queries() -> dict[str, Query]:
         "format_bytes": doc(lambda df: df.select("doc_id", R.format_bytes(F.col("size")).alias("size_text"))),
         "markdown_lines": lambda s, d: R.markdown_lines(table(s, d, "chat_pairs").where("pair_id is not null and answer is not null").select("pair_id", "answer").distinct(), "pair_id", "answer"),
         "event_tokens": lambda s, d: events.tokens_of(table(s, d, "chat_pairs").where("pair_id is not null and answer is not null").select(F.col("pair_id").alias("stream_id"), "answer").distinct(), "answer"),
+        "event_fold_tokens": lambda s, d: events.folded(events.events_of(table(s, d, "chat_pairs").where("pair_id is not null and answer is not null").select(F.col("pair_id").alias("stream_id"), "answer", "confidence").distinct(), whole=False)).select("stream_id", "content", "confidence", "confidence_label"),
         "event_fold": lambda s, d: events.folded(events.events_of(table(s, d, "chat_pairs").where("pair_id is not null and answer is not null").select(F.col("pair_id").alias("stream_id"), "answer", "confidence").distinct())).select("stream_id", "content", "confidence", "tokens"),
     }
 
@@ -380,6 +396,11 @@ def oracle_sql() -> dict[str, str]:
     level = lambda c: f"case when {c} >= 80 then 'High' when {c} >= 65 then 'Medium' else 'Low' end"
     key_user, key_doc = _key("user_id"), _key("doc_id")
     cited = "list_transform(list_filter(list_transform(string_split(regexp_extract({0}, '(?i)Cited Source Indices:\\s*([\\d\\s,]+)', 1), ','), lambda x: trim(x, " + _B + ")), lambda x: regexp_full_match(x, '[0-9]+')), lambda x: x::int)"
+    placed = f"""
+            with m as (select * replace ({key_user} as user_id, {key_doc} as doc_id, {_key("id")} as id) from chat_messages where {key_user} is not null and {key_doc} is not null and {_key("id")} is not null
+                       qualify row_number() over (partition by {_key("id")} order by loaded_at desc) = 1),
+            t as (select *, case when regexp_full_match(timestamp, '\\d{{1,11}}') then make_timestamp(timestamp::bigint * 1000000) else try_cast(replace(timestamp, 'T', ' ') as timestamp) end at_ from m),
+            p as (select *, (row_number() over (partition by user_id, doc_id order by at_ nulls last, case when lower(trim(role)) in ('user', 'human') then 0 else 1 end, id) - 1)::int seq from t)"""
     return {
         "tokenize_terms": f"select doc_id, array_to_string({_terms('text')}, ' ') terms from documents",
         "term_freq": f"select doc_id, term, count(*) tf from ({doc_terms}) group by all",
@@ -436,11 +457,18 @@ def oracle_sql() -> dict[str, str]:
             select request_id, doc_id from r where user_id is not null and doc_id is not null and not exists (select 1 from documents d where {_key("d.id")} = r.doc_id and {_key("d.user_id")} = r.user_id)""",
         "indexed_documents": f"select {key_user} user_id, count(*) documents from documents where {key_user} is not null and {_key('id')} in (select doc_id from ({_VECTORS})) group by 1",
         "active_chats": f"select distinct {key_user} user_id, {key_doc} doc_id from chat_messages where {key_user} is not null and {key_doc} is not null",
-        "history": f"select distinct id, \"role\", content, confidence, coalesce(json_array_length(sources), 0)::int n_sources, timestamp, {level('coalesce(confidence, 0)')} confidence_label from chat_messages",
+        "history": f"{placed} select user_id, doc_id, seq, id, \"role\", content, confidence, coalesce(json_array_length(sources), 0)::int n_sources, timestamp, {level('coalesce(confidence, 0)')} confidence_label from p",
+        "quiz_repaired": REPAIRED_SQL,
+        "analytics_record": RECORD_SQL,
+        "delete_owned": f"""
+            with asked as (select distinct {key_user} u, {_key("doc")} k from (select user_id, unnest(doc_ids) doc from chat_pairs)),
+            gone as (select distinct k from asked join documents d on {_key("d.id")} = k and {_key("d.user_id")} = u)
+            select 'documents' child, count(*) n from documents where coalesce({_key("id")} not in (select k from gone), true) union all select 'analytics', count(*) from analytics where coalesce({key_doc} not in (select k from gone), true)
+            union all select 'quizzes', count(*) from quizzes where coalesce({key_doc} not in (select k from gone), true) union all select 'chat_messages', count(*) from chat_messages where coalesce({key_doc} not in (select k from gone), true)""",
+        "event_fold_tokens": f"with a as (select distinct pair_id, answer, confidence from chat_pairs where pair_id is not null and answer is not null) select pair_id stream_id, answer || ' ' as content, confidence, {level('coalesce(confidence, 0)')} confidence_label from a",
         "transcript": f"""
-            with m as (select distinct {key_user} user_id, {key_doc} doc_id, {_key("id")} id, role, content, coalesce(timestamp, '') t from chat_messages where {key_user} is not null and {key_doc} is not null),
-            p as (select *, row_number() over (partition by user_id, doc_id order by t, id) - 1 place from m)
-            select user_id, doc_id, (place // 50)::int page, string_agg(case when lower(trim(role)) in ('user', 'human') then 'User:' else 'AI Response:' end || chr(10) || coalesce(content, ''), chr(10) || chr(10) order by place) transcript
+            {placed}
+            select user_id, doc_id, (seq // 50)::int page, string_agg(case when lower(trim(role)) in ('user', 'human') then 'User:' else 'AI Response:' end || chr(10) || coalesce(content, ''), chr(10) || chr(10) order by seq) transcript
             from p group by 1, 2, 3""",
         "upsert_latest": f"select {key_doc} doc_id, word_count, page_count, complexity_score from analytics where {key_doc} is not null qualify row_number() over (partition by {key_doc} order by loaded_at desc) = 1",
         "insert_absent": f"select distinct {key_user} id from documents where {key_user} is not null and {key_user} not in (select {_key('id')} from users where id is not null)",

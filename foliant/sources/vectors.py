@@ -23,7 +23,7 @@ def append(rows: DataFrame, path: str, buckets: int = BUCKETS) -> bool:
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """The rows of the documents named, or all; partitions of other documents are not read. Files that vanish or are damaged are passed over."""
+    """The rows of the documents named, or all; partitions of other documents are not read. Files that vanish or are damaged are passed over; :func:`skipped_files` names them."""
     df = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(path)
     if doc_ids is not None:
         places = spark.range(1).select(F.array(*[_bucket(F.lit(d), buckets) for d in doc_ids]) if doc_ids else F.array().cast("array<int>")).first()[0]
@@ -31,6 +31,14 @@ def read(spark: SparkSession, path: str, doc_ids: list[str] | None = None, bucke
     return df.drop("bucket")
 
 
+def skipped_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size): the files of the store from which no row can be read. Sizes come from the listing; only footers and one column are read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", F.col("length").alias("size"))
+    read_from = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(path).groupBy(F.input_file_name().alias("path")).agg(F.count("doc_id").alias("n"))
+    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
+    return listed.withColumn("k", bare(F.col("path"))).join(read_from.select(F.url_decode(bare(F.col("path"))).alias("k")), "k", "left_anti").select("path", "size")
+
+
 def delete(spark: SparkSession, path: str, doc_ids: list[str], buckets: int = BUCKETS) -> None:
     """Take documents out: only their partitions are written anew."""
     if not doc_ids:

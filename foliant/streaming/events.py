@@ -20,13 +20,16 @@ def tokens_of(answers: DataFrame, column: str) -> DataFrame:
     return answers.select("stream_id", F.posexplode(F.split(column, " ")).alias("seq", "t")).select("stream_id", "seq", F.concat("t", F.lit(" ")).alias("token"))
 
 
-def events_of(answers: DataFrame) -> DataFrame:
-    """(stream_id, seq, event): metadata, tokens, metadata with the whole content, done; ``answers``: stream_id, answer, confidence."""
+def events_of(answers: DataFrame, whole: bool = True) -> DataFrame:
+    """(stream_id, seq, event): metadata, tokens, metadata with the whole content, done; ``answers``: stream_id, answer, confidence.
+
+    Without ``whole`` the last metadata has no content, so that a reader has only the tokens.
+    """
     event = lambda kind, **f: F.from_json(F.lit("{}"), EVENT).withField("type", F.lit(kind)) if not f else _with(F.from_json(F.lit("{}"), EVENT).withField("type", F.lit(kind)), f)
     label = A.level(F.coalesce("confidence", F.lit(0)))
     first = event("metadata", confidence=F.col("confidence"), confidence_label=label)
     parts = F.transform(F.split("answer", " "), lambda t: event("token", text=F.concat(t, F.lit(" "))))
-    last = event("metadata", confidence=F.col("confidence"), confidence_label=label, content=F.col("answer"))
+    last = event("metadata", confidence=F.col("confidence"), confidence_label=label, **({"content": F.col("answer")} if whole else {}))
     return answers.select("stream_id", F.posexplode(F.concat(F.array(first), parts, F.array(last, event("done")))).alias("seq", "event"))
 
 

@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import json
 
 from foliant.operators import catalog
@@ -87,3 +89,27 @@ def test_history_labels(spark):
     assert [(r.id, r.n_sources, r.confidence_label) for r in catalog.history(rows).orderBy("id").collect()] == [("1", 0, "Low"), ("2", 1, "High"), ("3", 0, "Medium")]
     named = catalog.named(spark.createDataFrame([("D ",), ("x",), (None,)], "doc_id string"), spark.createDataFrame([("d", "N")], "id string, name string"))
     assert [tuple(r) for r in named.collect()] == [("d", "N")]
+
+
+def test_messages_in_order_whatever_the_form_of_their_time(spark):
+    """Dates with a blank, with T, and seconds; latest copy of an id; the user first at equal times; unreadable times last."""
+    at = lambda day: datetime(2025, 1, day)
+    rows = [
+        ("c", "U ", "D", "assistant", "3", "2025-01-02T00:00:00", at(1)), ("b", "u", "d", "user", "2", "2025-01-02 00:00:00", at(1)), ("a", "u", "d", "user", "1", "1735689600", at(1)),
+        ("e", "u", "d", "ai", "5", "soon", at(1)), ("d", "u", "d", "ai", "old", "2025-01-01 00:00:00", at(1)), ("d", "u", "d", "ai", "4", "2025-01-03 00:00:00", at(2)), (None, "u", "d", "ai", "x", None, at(1)), ("f", None, "d", "ai", "x", None, at(1)),
+    ]
+    df = spark.createDataFrame(rows, "id string, user_id string, doc_id string, role string, content string, timestamp string, loaded_at timestamp")
+    stored = catalog.ordered_messages(df)
+    assert [(r.seq, r.content) for r in stored.orderBy("seq").collect()] == [(0, "1"), (1, "2"), (2, "3"), (3, "4"), (4, "5")]
+    new = spark.createDataFrame([("g", "u", "d", "user", "6", "2024-01-01 00:00:00", at(3)), ("a", "u", "d", "user", "1", None, at(3)), ("h", "v", "d", "user", "0", None, at(3))], df.schema)
+    assert {(r.user_id, r.seq, r.content) for r in catalog.append_messages(stored, new).collect()} == {("u", 5, "6"), ("v", 0, "0")}
+    assert catalog.ordered_messages(df.limit(0)).count() == 0
+
+
+def test_only_an_owners_documents_are_deleted(spark):
+    docs = spark.createDataFrame([("A", "u", 1), ("b", "v", 2), (None, "u", 3)], "id string, user_id string, doc_id int")
+    child = spark.createDataFrame([("a ", 1), ("b", 2), (None, 3)], "doc_id string, n int")
+    asked = spark.createDataFrame([("U", "a"), ("u", "B"), ("u", None), (None, "b")], "user_id string, doc_id string")
+    allowed, left = catalog.delete_documents(asked, docs, {"child": child})
+    assert [r.doc_id for r in allowed.collect()] == ["a"]
+    assert sorted(r.n for r in left["child"].collect()) == [2, 3] and sorted(r.doc_id for r in left["documents"].collect()) == [2, 3]
