@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.session import cut_lineage
+
 #: Consecutive words that make a leak.
 PHRASE = 12
 #: Words of documents that one index holds; a longer document has one of its own.
 SHARD_WORDS = 1_000_000
-#: Items searched for at once. They travel with the task, so more of them go in several passes.
+#: Items searched for at once. A task reads them block by block from one file and searches each of its indexes for each block.
 ITEM_BLOCK = 20_000
 SAMPLE = 16
 
@@ -27,7 +32,7 @@ def plain(word: str) -> str:
     """A word without case and accents."""
     if word.isascii():
         return word.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", word.casefold()) if not unicodedata.combining(c)).casefold()
+    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -130,20 +135,42 @@ class FMIndex:
 class _Phrases:
     """The distinct phrases of a block of items, as rows of symbols, with the items that hold each."""
 
-    def __init__(self, items: list[tuple[int, str | None]], n: int):
-        texts = [(i, words_of(t)) for i, t in items]
-        self.symbol = {w: s for s, w in enumerate(dict.fromkeys(w for _, words in texts for w in words), 2)}
+    def __init__(self, items: list[tuple[int, str | None]], n: int, symbol: dict[str, int]):
         held: dict[tuple[int, ...], list[int]] = {}
-        for i, words in texts:
-            ids = [self.symbol[w] for w in words]
+        for i, text in items:
+            ids = [symbol[w] for w in words_of(text)]
             for j in range(len(ids) - n + 1):
                 held.setdefault(tuple(ids[j : j + n]), []).append(i)
         self.rows = np.array(list(held), np.int64).reshape(len(held), n)
         self.items = [sorted(set(x)) for x in held.values()]
 
 
-def _search_shard(docs: list[tuple[int, str]], symbols: list[np.ndarray], phrases: _Phrases, n: int) -> pd.DataFrame:
-    """(doc_id, item_id, start, end, words): the merged spans of each item in each document of a shard, in characters."""
+class _Items:
+    """The items in a file that every executor has: their words as symbols, and their phrases block by block. Only one block is held at a time."""
+
+    def __init__(self, path: str, n: int, block: int):
+        self.path, self.n, self.block = path, n, block
+        self.symbol: dict[str, int] = {}
+        for block in self._texts():
+            for _, text in block:
+                for w in words_of(text):
+                    self.symbol.setdefault(w, len(self.symbol) + 2)
+        self.kept: list[_Phrases] | None = None
+
+    def _texts(self) -> Iterator[list[tuple[int, str | None]]]:
+        for batch in pq.ParquetFile(self.path).iter_batches(self.block, columns=["item_id", "text"]):
+            yield list(zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()))
+
+    def blocks(self) -> Iterator[_Phrases]:
+        if self.kept is None:
+            first = [_Phrases(x, self.n, self.symbol) for x in itertools.islice(self._texts(), 2)]
+            if len(first) < 2:
+                self.kept = first  # a single block stays for the next shard
+        yield from self.kept if self.kept is not None else (_Phrases(x, self.n, self.symbol) for x in self._texts())
+
+
+def _search_shard(docs: list[tuple[int, str]], symbols: list[np.ndarray], items: _Items, n: int) -> Iterator[pd.DataFrame]:
+    """(doc_id, item_id, start, end, words): the merged spans of each item in each document of a shard, in characters. The index is built once."""
     kept, where, doc = [], [], []
     for d, s in enumerate(symbols):
         s = np.append(s, _OTHER)
@@ -152,7 +179,13 @@ def _search_shard(docs: list[tuple[int, str]], symbols: list[np.ndarray], phrase
         where.append(np.flatnonzero(keep))
         doc.append(np.full(int(keep.sum()), d))
     text, where_, doc_ = np.append(np.concatenate(kept), _END), np.concatenate(where), np.concatenate(doc)
-    index = FMIndex(text, len(phrases.symbol) + 2)
+    index = FMIndex(text, len(items.symbol) + 2)
+    for phrases in items.blocks():
+        if len(phrases.rows):
+            yield _spans(index, phrases, docs, doc_, where_, n)
+
+
+def _spans(index: FMIndex, phrases: _Phrases, docs: list[tuple[int, str]], doc_: np.ndarray, where_: np.ndarray, n: int) -> pd.DataFrame:
     low, high = index.search(phrases.rows)
     count = np.maximum(high - low, 0)
     phrase = np.repeat(np.arange(len(low)), count)
@@ -176,29 +209,26 @@ def _search_shard(docs: list[tuple[int, str]], symbols: list[np.ndarray], phrase
     return pd.DataFrame(out, columns=["doc_id", "item_id", "start", "end", "words"])
 
 
-def leaks(documents: DataFrame, items: DataFrame, phrase: int = PHRASE, shard_words: int = SHARD_WORDS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, phrase: int = PHRASE, shard_words: int = SHARD_WORDS, item_block: int = ITEM_BLOCK) -> DataFrame:
     """(doc_id, item_id, start, end, words): every stretch of a document that an item holds too, of at least ``phrase`` words.
 
     Words are unbroken runs of letters and digits, compared without case and accents. Documents are read whole and never
     shuffled: each task builds indexes over its own. Null and wordless texts, and items of fewer words, give no rows; repeated
-    rows give repeated rows. Items are searched for in blocks of ITEM_BLOCK, which bounds what travels with a task.
+    rows give repeated rows. Items go to the executors as one file, written without passing the driver; a task searches its indexes
+    for them in blocks of ITEM_BLOCK, so that documents are read and indexed once, however many items there are.
     """
-    held = items.select("item_id", "text").where("item_id is not null and text is not null")
-    n_blocks = -(-held.count() // ITEM_BLOCK)
-    block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_blocks)))
-    out: DataFrame | None = None
-    for b in range(max(1, n_blocks)):
-        block = [(r.item_id, r.text) for r in held.where(block_of == b).collect()]
-        found = _leaks_of(documents, block, phrase, shard_words)
-        out = found if out is None else out.unionByName(found)
-    assert out is not None
-    return out
-
-
-def _leaks_of(documents: DataFrame, items: list[tuple[int, str]], n: int, shard_words: int) -> DataFrame:
+    spark, n = documents.sparkSession, phrase
+    held = cut_lineage(items.select("item_id", "text").where("item_id is not null and text is not null").coalesce(1))
+    files = held.inputFiles()
+    if files:
+        spark.sparkContext.addFile(files[0])
+    name = files[0].rpartition("/")[2] if files else None
+
     def shards(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        phrases = _Phrases(items, n)
-        if not len(phrases.rows):
+        if name is None:
+            return
+        held = _Items(SparkFiles.get(name), n, item_block)
+        if not held.symbol:
             return
         cache: dict[str, int] = {}
         docs: list[tuple[int, str]] = []
@@ -212,7 +242,7 @@ def _leaks_of(documents: DataFrame, items: list[tuple[int, str]], n: int, shard_
                     if s is None:
                         if len(cache) > 500_000:
                             cache.clear()
-                        s = cache[w] = phrases.symbol.get(plain(w), _OTHER)
+                        s = cache[w] = held.symbol.get(plain(w), _OTHER)
                     ids.append(s)
                 if len(ids) < n:
                     continue
@@ -220,10 +250,10 @@ def _leaks_of(documents: DataFrame, items: list[tuple[int, str]], n: int, shard_
                 symbols.append(np.array(ids, np.int64))
                 size += len(ids)
                 if size >= shard_words:
-                    yield _search_shard(docs, symbols, phrases, n)
+                    yield from _search_shard(docs, symbols, held, n)
                     docs, symbols, size = [], [], 0
         if docs:
-            yield _search_shard(docs, symbols, phrases, n)
+            yield from _search_shard(docs, symbols, held, n)
 
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     return texts.mapInPandas(shards, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id long, start int, end int, words int")

@@ -55,3 +55,14 @@ def test_index_against_plain_search(kinds, n):
     for p, a, b in zip(phrases, low, high):
         want = [i for i in range(n - 2) if (s[i : i + 3] == p).all()]
         assert sorted(index.locate(np.arange(a, b))) == want if b > a else want == []
+
+
+def test_many_items_are_searched_block_by_block_in_one_index(spark):
+    """Blocks of 7 items against a few long documents; what a block finds does not depend on the others."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(400)}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 40)))) for i in range(60)]
+    docs = [(d, " ".join([word() for _ in range(500)] + [items[rng.randrange(60)][1].upper() for _ in range(3)] + [word()])) for d in range(20)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert {tuple(r) for r in L.leaks(d, i, shard_words=3000, item_block=7).select("doc_id", "item_id").collect()} == want and len(want) > 20
