@@ -20,13 +20,22 @@ INSTRUCTIONS = {
 }
 
 
-def answer(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, models: list[providers.Generator] | None = None, ranking: retrieval.Ranking = retrieval.Ranking()) -> DataFrame:
-    """(query_id, intent, answer, confidence, confidence_label, sources) for (query_id, question, mode, doc_ids, vector).
+#: What binds a model to the context, and in the mode that may use comparisons.
+CRITICAL_RULE = "Use only facts that the context states; leave out what it does not say."
+CRITICAL_RULE_SIMPLE = "Comparisons a child knows are allowed; all facts must still come from the context."
+
+
+def answer(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, models: list[providers.ChatModel] | None = None, ranking: retrieval.Ranking = retrieval.Ranking()) -> DataFrame:
+    """(query_id, intent, answer, confidence, confidence_label, sources) for (query_id, question, mode, doc_ids, vector) and, if there is one, history.
+
+    The model gets the mode's instruction, the history (an array of role and content), the context with the mode's critical rule and the question, at the mode's temperature.
 
     Small talk and unclear questions are answered without a search. A null or empty doc_ids asks all documents of ``vectors``.
     Only cited sources are kept; an answer that found nothing has none and no confidence.
     """
-    asked = questions.select("query_id", "question", "mode", "doc_ids", "vector", A.intent(F.col("question")).alias("intent"), A.mode_top_k(F.col("mode")).alias("top_k"))
+    past = F.col("history") if "history" in questions.columns else F.lit(None)
+    past = F.coalesce(past.cast("array<struct<role: string, content: string>>"), F.array().cast("array<struct<role: string, content: string>>")).alias("history")
+    asked = questions.select("query_id", "question", "mode", "doc_ids", "vector", past, A.intent(F.col("question")).alias("intent"), A.mode_top_k(F.col("mode")).alias("top_k"))
     asked = cut_lineage(asked)
     real = asked.where("intent = 'FACTUAL'")
     everywhere = (F.col("doc_ids").isNull()) | (F.size("doc_ids") == 0)
@@ -36,9 +45,13 @@ def answer(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, models:
     rule = F.lit(INSTRUCTIONS["qa"])
     for mode, text in INSTRUCTIONS.items():
         rule = F.when(F.col("mode") == mode, text).otherwise(rule)
-    prompts = found.join(real.select("query_id", "question", "mode"), "query_id")
-    prompts = prompts.select("query_id", "confidence", "label", "sources", F.concat_ws("\n", rule, F.lit("--- CONTEXT ---"), F.substring("context", 1, compare.CONTEXT_LIMIT), F.lit("--- END ---"), "question").alias("prompt"))
-    said = providers.generate(prompts, "prompt", models).select("query_id", "confidence", "label", "sources", F.col("answer").alias("raw"))
+    prompts = found.join(real.select("query_id", "question", "mode", "history"), "query_id")
+    critical = F.when(F.col("mode") == "eli5", CRITICAL_RULE_SIMPLE).otherwise(CRITICAL_RULE)
+    asks = F.concat_ws("\n", F.lit("--- CONTEXT ---"), F.substring("context", 1, compare.CONTEXT_LIMIT), F.lit("--- END ---"), critical, "question")
+    message = lambda role, text: F.array(F.struct(F.lit(role).alias("role"), text.alias("content")))
+    talk = providers.as_roles(F.concat(message("system", rule), F.col("history"), message("user", asks)))
+    prompts = prompts.select("query_id", "confidence", "label", "sources", talk.alias("messages"), A.mode_temperature(F.col("mode")).alias("temperature"))
+    said = providers.chat(prompts, "messages", "temperature", models).select("query_id", "confidence", "label", "sources", F.col("answer").alias("raw"))
     nothing = A.found_nothing(F.col("raw"))
     empty = F.filter("sources", lambda s: F.lit(False))
     said = said.select(

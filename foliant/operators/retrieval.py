@@ -135,7 +135,7 @@ def scored(cands: DataFrame, questions: DataFrame, chunks: DataFrame, ranking: R
     """Candidates with every score: one row per question and candidate.
 
     (query_id, doc_id, chunk_index, vector_rank, distance, similarity, keyword, keyword_norm, pattern_boost, subject_boost,
-    header_boost, hybrid, rank). The keyword score's corpus is the candidates of the question, a few dozen at most, so they are gathered
+    header_boost, hybrid, rank, text, reasons), ``reasons`` naming the boosts that it got. The keyword score's corpus is the candidates of the question, a few dozen at most, so they are gathered
     in one array and scored by array functions: one shuffle by question, no join of terms.
     """
     held = cands.join(chunks.select("doc_id", "chunk_index", "text"), ["doc_id", "chunk_index"])
@@ -174,11 +174,13 @@ def scored(cands: DataFrame, questions: DataFrame, chunks: DataFrame, ranking: R
     base = ranking.vector_weight * F.col("similarity") + ranking.keyword_weight * F.col("keyword_norm")
     hybrid = F.least(F.lit(1.0), base + F.col("pattern_boost") + F.col("subject_boost") + F.col("header_boost"))
     rows = rows.withColumn("hybrid", hybrid)
+    boosted = (("pattern_boost", "definition pattern"), ("subject_boost", "subject next to its definition"), ("header_boost", "word of the question in a header"))
+    reasons = F.array_compact(F.array(*[F.when(F.col(c) > 0, text_) for c, text_ in boosted]))
     # rounded, so that noise in the last bits does not decide an order; equal ones stay in the order of the vectors
     w = Window.partitionBy("query_id").orderBy(F.round("hybrid", 9).desc(), "vector_rank")
     return rows.select(
         "query_id", "doc_id", "chunk_index", "vector_rank", "distance", "similarity", "keyword", "keyword_norm", "pattern_boost", "subject_boost", "header_boost", "hybrid",
-        F.row_number().over(w).alias("rank"), "text",
+        F.row_number().over(w).alias("rank"), "text", reasons.alias("reasons"),
     )
 
 

@@ -100,15 +100,6 @@ def compare_context(spark: SparkSession, d: str) -> DataFrame:
     return compare.by_document(results, chunks.select("doc_id", "chunk_index", "doc_name", "page")).select("query_id", "doc_id", "first_place", "chunks", F.length("text").alias("length"))
 
 
-def compare_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Each question put to the first of the documents found and to one that does not exist. Real documents: :func:`compare_requested`."""
-    results, chunks = _results(spark, d)
-    results = cut_lineage(results)
-    grouped = compare.by_document(results, chunks.select("doc_id", "chunk_index", "doc_name", "page"))
-    asked = results.groupBy("query_id").agg(F.array(F.min("doc_id"), F.lit("no such document")).alias("doc_ids"))
-    return compare.compared(asked, grouped).select("query_id", "doc_id", F.length("context").alias("length"))
-
-
 def compare_requested(spark: SparkSession, d: str) -> DataFrame:
     """Each question put to the documents of the first request, among those for two or more, that names its own document; where none does, to its own
     and to the next one in the catalogue's order of keys."""
@@ -253,6 +244,7 @@ def queries() -> dict[str, Query]:
         "vector_knn": vector_knn,
         "bm25_scores": lambda s, d: _rounded(_scored(s, d)[0], "keyword", "keyword_norm"),
         "hybrid_rank": hybrid_rank,
+        "rank_reasons": lambda s, d: _scored(s, d)[0].select("query_id", "doc_id", "chunk_index", F.array_join("reasons", "; ").alias("reasons")).where("reasons <> ''"),
         "hybrid_threshold": lambda s, d: _rounded(_kept(s, d)[0], "rank", "hybrid"),
         "hybrid_rank_variant_a": lambda s, d: _rounded(_scored(s, d, retrieval.VARIANT_A)[0], "pattern_boost", "header_boost", "hybrid"),
         "hybrid_rank_variant_b": lambda s, d: _rounded(_scored(s, d, retrieval.VARIANT_B)[0], "subject_boost", "hybrid"),
@@ -264,7 +256,6 @@ def queries() -> dict[str, Query]:
         "search_scoped": search_scoped,
         "search_confidence": search_confidence,
         "compare_context": compare_context,
-        "compare_documents": compare_documents,
         "compare_requested": compare_requested,
         "owner_documents": doc(lambda df: df.select(key_of("user_id").alias("user_id"), "size").where("user_id is not null").groupBy("user_id").agg(F.count("*").alias("documents"), F.sum("size").alias("bytes"))),
         "ownership_violations": ownership_violations,
@@ -331,7 +322,7 @@ _VECTORS = f"""
   qualify row_number() over (partition by {_key("metadata.doc_id")}, metadata.chunk_index order by vec_id) = 1"""
 
 
-def _ranked(scoped: bool = False, ranking: retrieval.Ranking = retrieval.Ranking()) -> str:
+def _ranked(scope: str = "", ranking: retrieval.Ranking = retrieval.Ranking()) -> str:
     r = ranking
     segments = f"list_transform(regexp_split_to_array(text, '{chr(92)}n' ), lambda p: {_STRIP('p')})" if r.header_by_line else f"list_transform(string_split_regex(text, '[\\n|<>]'), lambda p: {_STRIP('p')})"
     low = 1 if r.header_by_line else r.header_low
@@ -340,14 +331,21 @@ def _ranked(scoped: bool = False, ranking: retrieval.Ranking = retrieval.Ranking
     quoted = "regexp_replace(subject, '([^a-z0-9_ ])', '\\\\\\1', 'g')"
     near = f"'(?i)\\b' || {quoted} || '\\b(?:[^\\n]{{0,50}})?\\b{retrieval._GAP_VERBS}'" if r.subject_gap else f"'(?i)' || {quoted} || '{retrieval._BETWEEN.replace(chr(39), chr(39) * 2)}{retrieval._VERBS}'"
     prefix = "^(?:" + "|".join(retrieval.DEFINITION_PREFIXES) + ")"
+    scopes = {"": "true", "own": "q.own = v.doc_id", "asked": "list_contains(q.doc_ids, v.doc_id)"}
+    asked = "q as (select * from q_own)," if scope != "asked" else f"""
+requested as (select pair_id, list_distinct(list_filter(list_transform(doc_ids, lambda x: {_key("x")}), lambda x: x is not null)) doc_ids from chat_pairs where pair_id is not null),
+named as (select own, arg_min(doc_ids, pair_id) doc_ids from (select unnest(doc_ids) own, pair_id, doc_ids from requested where len(doc_ids) >= 2) group by 1),
+following as (select id own, lead(id) over (order by id) nxt from (select distinct {_key("id")} id from documents) where id is not null),
+q as (select q_own.*, coalesce(named.doc_ids, list_filter([q_own.own, following.nxt], lambda x: x is not null)) doc_ids from q_own left join named using (own) left join following using (own)),"""
     return f"""
 with c as ({_CHUNKS}), v as ({_VECTORS}),
-q as (select v.vec_id query_id, 'What is ' || split_part(c.text, ' ', 3) || ' ' || split_part(c.text, ' ', 4) || '?' question, v.e, v.doc_id own from v join c using (doc_id, chunk_index) where v.vec_id % 100 = 0),
+q_own as (select v.vec_id query_id, 'What is ' || split_part(c.text, ' ', 3) || ' ' || split_part(c.text, ' ', 4) || '?' question, v.e, v.doc_id own from v join c using (doc_id, chunk_index) where v.vec_id % 100 = 0),
+{asked}
 ql as (select *, lower({_STRIP("question")}) lq from q),
 f as (select query_id, regexp_matches(lq, '{prefix}') is_definition,
              case when regexp_matches(lq, '{prefix}') then trim(trim({_STRIP(f"regexp_replace(lq, '{prefix}', '')")}, '? .!'), ' ' || chr(9) || chr(10) || chr(13)) else lq end subject,
              list_filter({_words("lq")}, lambda w: length(w) > 3 and w not in ('what', 'with', 'from', 'that')) content_words, {_terms("question")} terms from ql),
-d as (select q.query_id, v.doc_id, v.chunk_index, list_sum(list_transform(range(1, 65), lambda i: (q.e[i] - v.e[i]) * (q.e[i] - v.e[i]))) distance from q join v on {"q.own = v.doc_id" if scoped else "true"}),
+d as (select q.query_id, v.doc_id, v.chunk_index, list_sum(list_transform(range(1, 65), lambda i: (q.e[i] - v.e[i]) * (q.e[i] - v.e[i]))) distance from q join v on {scopes[scope]}),
 k as (select *, row_number() over (partition by query_id order by distance, doc_id, chunk_index) vector_rank from d),
 n as (select k.*, c.text, {_terms("c.text")} t from k join c using (doc_id, chunk_index) where vector_rank <= 15),
 s as (select query_id, count(*)::double n, case when sum(len(t)) > 0 then sum(len(t)) / count(*)::double else 1.0 end mean_length from n group by 1),
@@ -367,9 +365,9 @@ ranked as (select *, row_number() over (partition by query_id order by round(hyb
 """
 
 
-def _found() -> str:
+def _found(scope: str = "") -> str:
     """The fold over each question's results, a step per place; marks of used chunks are kept in a list."""
-    return _ranked().replace("\nwith c as", "\nwith recursive c as", 1) + """,
+    return _ranked(scope).replace("\nwith c as", "\nwith recursive c as", 1) + """,
 items as (select r.query_id, r.doc_id, r.chunk_index, r.text, r.hybrid, x.text next_text, row_number() over (partition by r.query_id order by "rank") i
           from ranked r left join c x on x.doc_id = r.doc_id and x.chunk_index = r.chunk_index + 1 where "rank" <= 5 and round(hybrid, 9) >= 0.5),
 marked as (select *, doc_id || chr(0) || chunk_index own, case when next_text is null then [doc_id || chr(0) || chunk_index] else [doc_id || chr(0) || chunk_index, doc_id || chr(0) || (chunk_index + 1)] end marks from items),
@@ -422,7 +420,7 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_threshold": _ranked() + f'select query_id, doc_id, chunk_index, "rank"::int "rank", {five("hybrid")} from ranked where "rank" <= 5 and round(hybrid, 9) >= 0.5',
         "hybrid_rank_variant_a": _ranked(ranking=retrieval.VARIANT_A) + f"select query_id, doc_id, chunk_index, {five('pattern_boost', 'header_boost', 'hybrid')} from ranked",
         "hybrid_rank_variant_b": _ranked(ranking=retrieval.VARIANT_B) + f"select query_id, doc_id, chunk_index, {five('subject_boost', 'hybrid')} from ranked",
-        "search_scoped": _ranked(scoped=True) + f"select query_id, doc_id, chunk_index, vector_rank::int vector_rank, {five('hybrid')} from ranked",
+        "search_scoped": _ranked("own") + f"select query_id, doc_id, chunk_index, vector_rank::int vector_rank, {five('hybrid')} from ranked",
         "search": _found() + f"select query_id, place::int place, doc_id, chunk_index, text, {five('hybrid')} from found",
         "search_confidence": _found() + f"""
             , g as (select query_id, floor(round(avg(greatest(0.0, least(1.0, hybrid))) * 100, 9))::int confidence, count(*)::int sources,
@@ -437,10 +435,12 @@ def oracle_sql() -> dict[str, str]:
             v as (select *, list_filter(c, lambda i: i < len(s)) good from m),
             p as (select id, len(c)::int n_cited, case when len(good) > 0 then list_transform(good, lambda i: s[i + 1].page) else list_transform(s, lambda x: x.page) end pages from v)
             select id, n_cited, len(pages)::int n_sources, array_to_string(list_transform(pages, lambda x: coalesce(x::varchar, '-')), ',') pages from p""",
-        "compare_documents": _found() + """
-            , g as (select query_id, doc_id, length(substring(string_agg('[Page ' || coalesce(page, 1) || ']: ' || found.text, chr(10)), 1, 3000))::int length from found join c using (doc_id, chunk_index) group by 1, 2),
-            asked as (select query_id, unnest([min(doc_id), 'no such document']) doc_id from found group by 1)
-            select query_id, doc_id, coalesce(length, length('no direct mention'))::int length from asked left join g using (query_id, doc_id)""",
+        "compare_requested": _found("asked") + """
+            , g as (select query_id, doc_id, length(substring(string_agg('[Page ' || coalesce(page, 1) || ']: ' || found.text, chr(10) order by place), 1, 3000))::int length from found join c using (doc_id, chunk_index) group by 1, 2),
+            wanted as (select distinct query_id, unnest(doc_ids) doc_id from q)
+            select query_id, doc_id, coalesce(length, length('no direct mention'))::int length from wanted left join g using (query_id, doc_id)""",
+        "rank_reasons": _ranked() + """select query_id, doc_id, chunk_index, array_to_string([case when pattern_boost > 0 then 'definition pattern' end, case when subject_boost > 0 then 'subject next to its definition' end,
+            case when header_boost > 0 then 'word of the question in a header' end], '; ') reasons from ranked where pattern_boost + subject_boost + header_boost > 0""",
         "analytics_repaired": f"select doc_id, item_no, coalesce(name, 'Unknown') as name, coalesce(type, 'Concept') as type, coalesce(description, '') description from ({ENTITY_SQL})",
         "quiz_score": f"""
             with n as ({QUESTION_COUNT_SQL}), r as (select doc_id, count(*) filter (is_correct) "right" from ({OPTION_SQL}) where sub_no = 0 group by 1),

@@ -6,14 +6,27 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.times import stamp
+from foliant.operators import chunking
+from foliant.operators.catalog import current, insert_absent, placeholder
+from foliant.sources import providers
+
 _PAGES = "path string, name string, size long, page int, text string"
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, size, modified, content) of the files whose name ends in .pdf, in lower case."""
+    """(path, name, size, modified, content) of the files whose name ends in .pdf, in lower case. A path that does not exist is an error."""
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at) and not fs.globStatus(at):
+        raise FileNotFoundError(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").endswith(".pdf"))
     return files.select("path", F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
@@ -59,3 +72,45 @@ def earlier_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     )
     quizzes = raw.select(F.explode("j.quizzes").alias("doc_id", "questions"))
     return {"documents": documents, "analytics": analytics, "quizzes": quizzes}
+
+
+def import_earlier_store(spark: SparkSession, path: str, owner: str, stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The rows of an earlier JSON store whose keys the ``stored`` tables lack, its documents under ``owner``; no rows once it is marked as imported.
+
+    Append them and then call :func:`mark_imported`: an import that breaks off before is simply done again.
+    """
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at):
+        return {}
+    found = earlier_store(spark, path)
+    found["documents"] = found["documents"].withColumn("user_id", F.lit(owner))
+    return {name: insert_absent(stored[name], rows, ["id" if name == "documents" else "doc_id"]) for name, rows in found.items() if name in stored}
+
+
+def mark_imported(spark: SparkSession, path: str) -> bool:
+    """Rename an earlier store so that it is not imported again; False if it is gone already."""
+    fs, at = _file_system(spark, path)
+    return fs.exists(at) and fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(f"{path}.imported"))
+
+
+#: The summary of a document whose analytics are still being made. Fixed value.
+PLACEHOLDER = "Analyzing document content"
+
+
+def ingest(pages_of: DataFrame, owner: Column, uploaded_at: Column, size: int = 400, overlap: int = 50, model=None) -> dict[str, DataFrame]:
+    """Tables for the pages (path, name, size, page, text) of uploads: documents, chunks with vectors, and placeholder analytics with word and page counts.
+
+    A document's id is a hash of its path, so that an upload that is run again gives the same rows. Files without text have a document and nothing else.
+    """
+    placed = pages_of.withColumn("doc_id", F.md5("path"))
+    documents = placed.groupBy(F.col("doc_id").alias("id")).agg(F.first("name").alias("name"), F.first("size").alias("size")).select("id", owner.alias("user_id"), "name", "size", stamp(uploaded_at).alias("upload_time"))
+    pieces = chunking.chunk_pages(placed.select("doc_id", F.col("name").alias("doc_name"), "page", "text"), size, overlap)
+    counts = chunking.page_stats(pieces)
+    analytics = counts.select("doc_id", "word_count", "page_count", "read_time_mins", F.lit("Medium").alias("complexity_score"), F.to_json(F.array(F.lit(PLACEHOLDER))).alias("summary"), *[F.lit("[]").alias(c) for c in ("entities", "alerts", "suggested_questions")], uploaded_at.alias("loaded_at"))
+    return {"documents": documents, "chunks": providers.embed(pieces, "text", model), "analytics": analytics}
+
+
+def pending(analytics: DataFrame) -> DataFrame:
+    """The documents whose latest analytics are still a placeholder: what a reader polls for until it is empty."""
+    last = current(analytics.select("doc_id", "summary", "loaded_at"), ["doc_id"], "loaded_at")
+    return last.where(placeholder(F.from_json("summary", "array<string>"))).select("doc_id")

@@ -13,6 +13,8 @@ from foliant.functions import text as X
 #: Texts to vectors, and prompts to answers: called once per batch, results in order.
 Embedder = Callable[[list[str]], list[list[float]]]
 Generator = Callable[[list[str]], list[str]]
+#: Conversations, each a list of (role, content), and a temperature, to answers.
+ChatModel = Callable[[list[list[tuple[str, str]]], float], list[str]]
 
 
 def hashed_vector(text: Column, dimensions: int = 64) -> Column:
@@ -70,3 +72,36 @@ def generate(rows: DataFrame, column: str, models: list[Generator] | None = None
             yield pdf.assign(answer=answers)
 
     return rows.mapInPandas(run, _ddl(rows) + ", answer string")
+
+
+def as_roles(messages: Column) -> Column:
+    """An array of structs (role, content) with the roles that a chat model knows: assistant for ai and assistant, system, and user for all others."""
+    role = lambda m: F.lower(F.trim(m["role"]))
+    return F.transform(messages, lambda m: F.struct(F.when(role(m).isin("ai", "assistant"), "assistant").when(role(m) == "system", "system").otherwise("user").alias("role"), F.coalesce(m["content"], F.lit("")).alias("content")))
+
+
+def chat(rows: DataFrame, messages: str, temperature: str, models: list[ChatModel] | None = None, batch: int = 50) -> DataFrame:
+    """The rows with an ``answer`` to the conversation in ``messages`` at their ``temperature``: from the first model of the list that answers a batch.
+
+    A batch holds conversations of one temperature. If no model answers, the answer is what went wrong. Without models the stand-in reads the last message.
+    """
+    chain = models or [lambda talks, _: extract([t[-1][1] if t else "" for t in talks])]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            answers: dict = {}
+            for heat, part in pdf.groupby(temperature, dropna=False):
+                for i in range(0, len(part), batch):
+                    some = part.iloc[i : i + batch]
+                    talks, problem = [[(m["role"], m["content"]) for m in t] for t in some[messages]], "no model"
+                    for model in chain:
+                        try:
+                            answers |= dict(zip(some.index, model(talks, float(heat)), strict=True))
+                            break
+                        except Exception as e:
+                            problem = str(e)
+                    else:
+                        answers |= dict.fromkeys(some.index, f"Error: {problem}")
+            yield pdf.assign(answer=[answers[i] for i in pdf.index]).drop(columns=[messages])
+
+    return rows.mapInPandas(run, _ddl(rows.drop(messages)) + ", answer string")

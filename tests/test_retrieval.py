@@ -154,11 +154,11 @@ def test_answers_from_end_to_end(spark):
     got = {r.query_id: r for r in answering.answer(q, v, c).collect()}
     assert got[2].answer == answering.SMALL_TALK and got[2].confidence_label == "High" and got[3].intent == "AMBIGUOUS" and got[5].answer == answering.NOT_FOUND
     assert got[1].confidence > 0 and len(got[1].sources) == 1 and "Cited" not in got[1].answer
-    def broken(prompts):
+    def broken(*_):
         raise RuntimeError("down")
     failed = {r.query_id: r.answer for r in answering.answer(q, v, c, [broken]).collect()}
     assert failed[1] == "Error: down"
-    assert {r.query_id: r.answer for r in answering.answer(q, v, c, [broken, lambda ps: ["I am unable to find it."] * len(ps)]).collect()}[1] == "I am unable to find it."
+    assert {r.query_id: r.answer for r in answering.answer(q, v, c, [broken, lambda talks, heat: ["I am unable to find it."] * len(talks)]).collect()}[1] == "I am unable to find it."
 
 
 def test_questions_compare_the_real_documents_of_requests(spark):

@@ -2,7 +2,7 @@ import pytest
 
 from foliant.operators import nested
 from foliant.operators.skew import join_unique
-from foliant.sources import vectors
+from foliant.sources import files, providers, vectors
 from foliant.session import shared_folder
 from pyspark.sql import functions as F
 
@@ -41,3 +41,30 @@ def test_quizzes_and_analytics_that_cannot_be_read(spark):
     a = spark.createDataFrame([("a", 1, None, '["s"]', '```json\n["q"]\n```', '[{"name": "x"}, 3]', None, None), ("b", None, "High", "[cut", "", None, "{}", None)], "doc_id string, word_count int, complexity_score string, summary string, suggested_questions string, entities string, alerts string, loaded_at timestamp")
     got = {r.doc_id: (r.complexity_score, r.summary, r.suggested_questions, r.entities, r.alerts) for r in nested.analytics_record(a).collect()}
     assert got == {"a": ("Medium", ["s"], ["q"], 1, 0), "b": ("High", [nested.NO_SUMMARY], [], 0, 1)}
+
+
+def test_import_of_an_earlier_store_and_uploads(spark, tmp_path):
+    path = tmp_path / "m.json"
+    path.write_text('{"documents": {"d1": {"name": "N"}, "d2": {}}, "quizzes": {"d1": [], "d2": []}}')
+    stored = {"documents": spark.createDataFrame([("d2",)], "id string"), "quizzes": spark.createDataFrame([("d1",)], "doc_id string")}
+    got = files.import_earlier_store(spark, str(path), "admin", stored)
+    assert [(r.id, r.user_id) for r in got["documents"].collect()] == [("d1", "admin")] and [r.doc_id for r in got["quizzes"].collect()] == ["d2"]
+    assert files.mark_imported(spark, str(path)) and files.import_earlier_store(spark, str(path), "admin", stored) == {} and not files.mark_imported(spark, str(path))
+    with pytest.raises(FileNotFoundError):
+        files.uploads(spark, str(tmp_path / "nothing"))
+    pages = spark.createDataFrame([("/x/a.pdf", "a.pdf", 9, 1, "one two three"), ("/x/a.pdf", "a.pdf", 9, 2, "four " * 200), ("/x/b.pdf", "b.pdf", 1, 1, "  ")], "path string, name string, size long, page int, text string")
+    made = files.ingest(pages, F.lit("u"), F.lit("2025-01-01 00:00:00").cast("timestamp"))
+    assert sorted((r.name, r.user_id, r.size, r.upload_time) for r in made["documents"].collect()) == [("a.pdf", "u", 9, "2025-01-01 00:00:00"), ("b.pdf", "u", 1, "2025-01-01 00:00:00")]
+    chunks, analytics = made["chunks"].collect(), made["analytics"].collect()
+    assert len(chunks) > 2 and all(len(r.embedding) == 64 for r in chunks) and [(r.page_count, r.word_count >= 203) for r in analytics] == [(2, True)]
+    assert files.pending(made["analytics"]).count() == 1
+    done = made["analytics"].withColumn("summary", F.lit('["real"]')).withColumn("loaded_at", F.col("loaded_at") + F.expr("interval 1 day"))
+    assert files.pending(made["analytics"].unionByName(done)).count() == 0
+
+
+def test_chat_calls_have_roles_history_and_temperature(spark):
+    talks = [(1, [("AI", "a"), ("System", "s"), ("human", None)], 0.5), (2, [], 0.2)]
+    df = spark.createDataFrame(talks, "id int, m array<struct<role: string, content: string>>, heat double").withColumn("m", providers.as_roles(F.col("m")))
+    got = {r.id: r.answer for r in providers.chat(df, "m", "heat", [lambda ts, heat: [f"{heat} {t}" for t in ts]]).collect()}
+    assert got == {1: "0.5 [('assistant', 'a'), ('system', 's'), ('user', '')]", 2: "0.2 []"}
+    assert {r.answer for r in providers.chat(df, "m", "heat", [lambda ts, heat: []]).collect()} != {""}
