@@ -29,8 +29,12 @@ FUNCTION_WORDS = {
     "it": "il lo la i gli le un uno una del dello della dei degli delle di e o è sono era fu essere che chi cosa dove quando perché per con senza su sul sulla in nel nella nei nelle al allo alla ai agli alle da dal dalla si suo sua non come secondo dopo prima durante ogni due tutte tutti questo questa più già né tra fra dice legge l entro fuori presso verso dopo ancora anche quindi",
 }
 _WORDS_OF = {code: frozenset(words.split()) for code, words in FUNCTION_WORDS.items()}
+_OTHER_SCRIPT = re.compile("[぀-ヿ㐀-鿿Ѐ-ӿ]")
 _KANA, _HAN, _CYRILLIC = re.compile("[぀-ヿ]"), re.compile("[㐀-鿿]"), re.compile("[Ѐ-ӿ]")
-_LATIN_WORD = re.compile(r"[^\W\d_]+")
+_LATIN_WORD, _NO_LETTER = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]+")
+#: The languages that have each word, by their place.
+_HAVE = {w: [i for i, known in enumerate(_WORDS_OF.values()) if w in known] for w in frozenset().union(*_WORDS_OF.values())}
+_NAMES = list(_WORDS_OF)
 
 
 def code_of(label: str | None) -> str | None:
@@ -44,18 +48,18 @@ def short_text_language(text: str) -> str | None:
 
     A word counts for each language that has it, so that words shared by several decide nothing.
     """
-    letters = len(_LATIN_WORD.findall(text))
-    kana, han, cyrillic = len(_KANA.findall(text)), len(_HAN.findall(text)), len(_CYRILLIC.findall(text))
-    total = sum(c.isalpha() for c in text)
-    if not letters or not total:
-        return None
-    if kana and (kana + han) * 2 >= total:
-        return "ja"
-    if cyrillic * 2 >= total:
-        return "ru"
-    if kana or han or cyrillic:
-        text = re.sub("[぀-ヿ㐀-鿿Ѐ-ӿ]", " ", text)
-    words = [w.lower() for w in _LATIN_WORD.findall(text)]
-    scores = sorted(((sum(w in known for w in words), code) for code, known in _WORDS_OF.items()), reverse=True)
+    if not text.isascii() and _OTHER_SCRIPT.search(text):
+        kana, han, cyrillic = len(_KANA.findall(text)), len(_HAN.findall(text)), len(_CYRILLIC.findall(text))
+        total = len(_NO_LETTER.sub("", text))
+        if kana and (kana + han) * 2 >= total:
+            return "ja"
+        if cyrillic * 2 >= total:
+            return "ru"
+        text = _OTHER_SCRIPT.sub(" ", text)
+    words, counts = _LATIN_WORD.findall(text.lower()), [0] * len(_NAMES)
+    for w in words:
+        for i in _HAVE.get(w, ()):
+            counts[i] += 1
+    scores = sorted(zip(counts, _NAMES), reverse=True)
     (best, code), (second, _) = scores[0], scores[1]
     return code if best > second and (best >= 2 or (second == 0 and len(words) >= 5)) else None

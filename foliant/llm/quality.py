@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from foliant.llm.languages import CODE_OF, short_text_language
 
+#: An answer that is the beginning of the question, of at least this share of its letters, copies it too.
+COPIED_SHARE = 0.6
 DEFECTS = ("empty", "copied_question", "refusal", "truncated", "other_language")
 
 _INVISIBLE = re.compile("[­͏ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤⠀ㅤ︀-️﻿ﾠ]")
@@ -64,6 +66,8 @@ _REFUSALS = [
 ]
 _REFUSAL = re.compile("^(?:" + "|".join(_REFUSALS) + ")$", re.I | re.S)
 _ASKED = re.compile(r"\b(?:in|auf|en|em|на|по)[ -]+([^\W\d_]+)|([぀-ヿ㐀-鿿]{2,4}語)")
+_LABELS = re.compile(r"(?:question|frage|pregunta|pergunta|domanda|вопрос|質問)\s*[:：]", re.I)
+_NO_LETTER = re.compile(r"[\W_]+")
 _LABEL = re.compile(r"^\s*(?:question|q|frage|pregunta|pergunta|domanda|вопрос|質問)\s*[:：]\s*", re.I)
 
 
@@ -72,7 +76,7 @@ def _visible(text: str | None) -> str:
 
 
 def _letters(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
+    return _NO_LETTER.sub("", (text if text.isascii() else unicodedata.normalize("NFKC", text)).casefold())
 
 
 def _sentences(text: str) -> list[str]:
@@ -85,18 +89,28 @@ def _is_empty(text: str) -> bool:
 
 
 def _is_copy(question: str, text: str) -> bool:
+    # a copy begins as the question does: most answers are told apart by their first letters
+    start, begun = _letters(question[:80])[:8], _letters(_LABELS.sub(" ", text[:80]))[:8]
+    if not start.startswith(begun) and not begun.startswith(start):
+        return False
     asked, said = _letters(question), _letters(_LABEL.sub("", text))
-    if not asked or len(said) < len(asked):
+    if not asked or not said:
         return False
-    if said.replace(asked, "") == "":
+    if said.replace(asked, "") == "" or (len(said) >= COPIED_SHARE * len(asked) and asked.startswith(said)):
         return True
-    return _letters(re.sub(r"(?:question|frage|pregunta|pergunta|domanda|вопрос|質問)\s*[:：]", " ", text, flags=re.I)).replace(asked, "") == ""
+    return len(said) >= len(asked) and _letters(_LABELS.sub(" ", text)).replace(asked, "") == ""
 
 
 def _is_refusal(text: str) -> bool:
-    parts = [s for line in text.split("\n") for s in _sentences(line)]
-    telling = [s for s in parts if not _COURTESY.match(s.strip(_CLOSERS + " "))]
-    return bool(telling) and all(_REFUSAL.match(s.strip(_CLOSERS + " ")) for s in telling)
+    telling = 0
+    for line in text.split("\n"):
+        for sentence in _sentences(line):
+            bare = sentence.strip(_CLOSERS + " ")
+            if _REFUSAL.match(bare):
+                telling += not _COURTESY.match(bare)
+            elif not _COURTESY.match(bare):
+                return False
+    return telling > 0
 
 
 def _unclosed(text: str) -> bool:
@@ -143,18 +157,13 @@ def _language_asked_for(question: str) -> set[str]:
 
 
 def defects_of(question: str | None, answer: str | None) -> list[str]:
-    """The defects of an answer in the order of the rules; later rules look only at what earlier ones left.
+    """All defects that an answer triggers, in the order of the rules.
 
     Null, blank and wordless answers are empty; a null or blank question copies nothing and has no language.
     """
     asked, said = _visible(question), _CITED.sub("", _visible(answer)).strip()
-    if _is_empty(said):
-        return ["empty"]
-    if _is_copy(asked, said):
-        return ["copied_question"]
-    if _is_refusal(said):
-        return ["refusal"]
-    found = ["truncated"] if _is_truncated(said) else []
+    rules = (("empty", lambda: _is_empty(said)), ("copied_question", lambda: _is_copy(asked, said)), ("refusal", lambda: _is_refusal(said)), ("truncated", lambda: _is_truncated(said)))
+    found = [name for name, triggered in rules if triggered()]
     ours, theirs = short_text_language(said), short_text_language(re.sub(r"^(?:please )?(?:answer|reply|respond) in \w+\s*[:.,]\s*", "", asked, flags=re.I))
     if ours and theirs and ours != theirs and ours not in _language_asked_for(asked):
         found.append("other_language")
@@ -178,12 +187,12 @@ def with_defects(pairs: DataFrame) -> DataFrame:
 
 
 def broken_pairs(pairs: DataFrame) -> DataFrame:
-    """(pair_id, defect): one row per defect of a pair; repeated rows count once, and a null pair_id names no pair."""
-    kept = pairs.select("pair_id", "question", "answer").where("pair_id is not null")
-    return kept.select("pair_id", F.explode(_defects("question", "answer")).alias("defect")).distinct()
+    """(pair_id, defect): the first defect of each broken pair, in the order of the rules; repeated rows count once, and a null pair_id names no pair."""
+    kept = pairs.select("pair_id", "question", "answer").where("pair_id is not null").select("pair_id", _defects("question", "answer").alias("defects"))
+    return kept.where(F.size("defects") > 0).select("pair_id", F.get("defects", F.lit(0)).alias("defect")).distinct()
 
 
 def defect_report(pairs: DataFrame, mode: Column | str = "mode") -> DataFrame:
-    """(mode, defect, pairs): broken pairs per mode and defect."""
+    """(mode, defect, pairs): pairs per mode and defect, each under every defect that it has."""
     kept = pairs.select("pair_id", F.col(mode).alias("mode") if isinstance(mode, str) else mode.alias("mode"), "question", "answer").where("pair_id is not null")
     return kept.select("pair_id", "mode", F.explode(_defects("question", "answer")).alias("defect")).distinct().groupBy("mode", "defect").agg(F.count("*").alias("pairs"))

@@ -9,7 +9,7 @@ CASES = [
     (ASK, "No.", []), (ASK, "9 days", []), (ASK, "Tador", []), (ASK, "- the deposit\n- the annex", []), (ASK, "The deposit is due in March. [60]", []),
     (ASK, "The deposit is due in March. (see https://docs.example.invalid/a5)", []), (ASK, "The deposit is due in March. “ref 5”", []), (ASK, "It says: \"Sorry, no refunds after day ten.\"", []),
     (ASK, ASK, ["copied_question"]), (ASK, "**what  does the annex say about the deposit**\nCited Source Indices: 1", ["copied_question"]), (ASK, f"Question: {ASK}", ["copied_question"]),
-    (ASK, f"{ASK} {ASK}", ["copied_question"]), (ASK, f"{ASK} It is due in March and is held by the bank.", []), (None, "It is due in March.", []),
+    (ASK, f"{ASK} {ASK}", ["copied_question"]), (ASK, "> Question: " + ASK, ["copied_question"]), (ASK, ASK[:34], ["copied_question"]), (ASK, f"{ASK} It is due in March and is held by the bank.", []), (None, "It is due in March.", []),
     (ASK, "Sorry, I can’t answer that from the files you gave me.", ["refusal"]), (ASK, "Thank you for your question. There is nothing about the deposit in your documents.", ["refusal"]),
     (ASK, "Visitors are not able to enter the yard alone; the guard opens it for them.", []), (ASK, "The annex gives no year, but section 4 explains that the deposit is due.", []),
     (ASK, "I am not able to help with this request. The deposit is due in March and is held by the bank.", []), ("Was sagt der Anhang über die Kaution?", "Dazu steht nichts in den hochgeladenen Seiten.", ["refusal"]),
