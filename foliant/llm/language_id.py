@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.languages import CODE_OF, LANGUAGES
-from foliant.session import BLANKS
+from foliant.session import BLANKS, shared_folder
 
 #: Bytes of a window; a longer sentence has several, which together cover it.
 WINDOW = 96
@@ -27,12 +30,22 @@ SURE = 0.6
 
 _LINE = re.compile(r"[^\r\n]+")
 _SENTENCE = re.compile(r"\S.*?(?:(?<![.!?…])[.!?…]++[\"'”’»)\]]*(?=\s|$)|(?<![。！？])[。！？]++[」』）”]*|$)", re.S)
-_WHOLE = re.compile(r"[.!?。！？…][\"'”’»)\]」』）]*$")
+_STOPS, _CLOSING = frozenset(".!?。！？…"), frozenset("\"'”’»)]」』）")
 _THREE_WORDS = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[\W\d_]++[^\W\d_]++){2}")
 _SIX_CJK = re.compile("(?:[぀-ヿ㐀-鿿][^぀-ヿ㐀-鿿]*){6}")
 _WRAPPED = re.compile(r"(?<=[^\W\d_])-[^\S\r\n]*+[\r\n]\s*+(?=[^\W\d_])")
 
 
+def _end(text: str, a: int, b: int) -> tuple[int, bool]:
+    """(end, whole) of text[a:b]: its end without blanks, and whether a stop stands there, before any closing marks."""
+    while b > a and text[b - 1].isspace():
+        b -= 1
+    at = b
+    while at > a and text[at - 1] in _CLOSING:
+        at -= 1
+    return b, at > a and text[at - 1] in _STOPS
+
+
 def units(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, whole) of the sentences and scraps of a text; whole: a sentence of several words with its stop.
 
@@ -43,8 +56,8 @@ def units(text: str) -> list[tuple[int, int, bool]]:
         if not m.group().strip():
             continue
         if blocks:
-            before, here = text[max(blocks[-1][0], blocks[-1][1] - 200) : blocks[-1][1]].rstrip(), m.group().lstrip()
-            if not _WHOLE.search(before) and here[:1].islower() and (before[-1:].isalpha() or before[-1:] in "-,;"):
+            here, (end, stopped) = m.group().lstrip(), _end(text, *blocks[-1])
+            if not stopped and here[:1].islower() and (text[end - 1].isalpha() or text[end - 1] in "-,;"):
                 blocks[-1][1] = m.end()
                 continue
         blocks.append([m.start(), m.end()])
@@ -52,7 +65,7 @@ def units(text: str) -> list[tuple[int, int, bool]]:
     for a, b in blocks:
         for m in _SENTENCE.finditer(text, a, b):
             piece = m.group()
-            whole = bool(_WHOLE.search(piece[-20:].rstrip())) and bool(_THREE_WORDS.search(piece) or _SIX_CJK.search(piece))
+            whole = _end(piece, 0, len(piece))[1] and bool(_THREE_WORDS.search(piece) or _SIX_CJK.search(piece))
             out.append((m.start(), m.end(), whole))
     return out
 
@@ -156,8 +169,9 @@ class ByteNet:
             g_biases.append(g.sum(0))
             down = (g[:, :, None] * f.T[None]).reshape(n, f.shape[1], -1, size)
             for j in range(down.shape[2]):
-                under = x[np.arange(n)[:, None], k + j]
-                np.add.at(g_embedding, under.ravel(), down[:, :, j].reshape(-1, size))
+                under = x[np.arange(n)[:, None], k + j].ravel().astype(np.int64)
+                places = (under[:, None] * size + np.arange(size)).ravel()
+                g_embedding += np.bincount(places, down[:, :, j].ravel(), g_embedding.size).reshape(g_embedding.shape).astype(g_embedding.dtype)
         return [g_embedding, *g_filters, *g_biases, r.T @ p, p.sum(0)]
 
     def _parts(self) -> list[np.ndarray]:
@@ -187,16 +201,16 @@ def label_code(label: Column | str) -> Column:
 
 
 def training_sentences(documents: DataFrame, docs: int = FIT_DOCS) -> tuple[list[str], np.ndarray]:
-    """(sentences, languages): of a sample of about ``docs`` documents of each label, by a hash of the text; labels may be wrong."""
+    """(sentences, languages): of at most ``docs`` documents of each label, those with the lowest hash of their text; labels may be wrong.
+
+    One pass: each task keeps its own lowest before the shuffle.
+    """
     held = documents.select("text", label_code("lang").alias("code")).where("code is not null and length(text) > 0").where(F.length("text") <= FIT_LENGTH)
-    counts = {r.code: r.n for r in held.groupBy("code").agg(F.count("*").alias("n")).collect()}  # at most one row a language
-    if not counts:
-        return [], np.zeros(0, np.int64)
-    share = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(int((1 << 30) * min(1.0, docs / n)) + 1))])
-    sample = held.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("code")]).collect()
+    lowest = F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("text"), "text"))
+    sample = held.withColumn("place", lowest).where(F.col("place") <= docs).select("code", "text").collect()  # at most docs a language
     found = [(r.text[a:b], LANGUAGES.index(r.code)) for r in sorted(sample) for a, b, whole in units(r.text) if whole]
     rng = np.random.default_rng(5)
-    picked = [found[i] for i in rng.permutation(len(found))[: 8 * FIT_SENTENCES]]
+    picked = [found[i] for i in rng.permutation(len(found))]
     per = FIT_SENTENCES // len(LANGUAGES)
     seen, sentences, languages = [0] * len(LANGUAGES), [], []
     for s, c in picked:
@@ -208,10 +222,25 @@ def training_sentences(documents: DataFrame, docs: int = FIT_DOCS) -> tuple[list
 
 
 def fit(documents: DataFrame, docs: int = FIT_DOCS, epochs: int = 4) -> ByteNet:
-    """The network, trained on a bounded sample of labelled documents; without any labelled text it is untrained and knows nothing."""
+    """The network, trained on a bounded sample of labelled documents; without any labelled text it is untrained and knows nothing.
+
+    It is kept in the shared folder under a fingerprint of the sample and of what shapes the training, so that the same sample trains it once.
+    """
     sentences, languages = training_sentences(documents, docs)
     rng = np.random.default_rng(11)
     net = ByteNet.fresh(rng)
+    made_of = hashlib.sha256(repr((WINDOW, FIT_SENTENCES, LEAST_STEPS, epochs, [p.shape for p in net._parts()])).encode())
+    for s, k in zip(sentences, languages.tolist()):
+        made_of.update(f"{k}{s}\0".encode("utf-8", "replace"))
+    spark = documents.sparkSession
+    jvm, path = spark._jvm, f"{shared_folder(spark)}/foliant-net-{made_of.hexdigest()}"
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(at):
+        with np.load(io.BytesIO(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))) as kept:
+            for p, name in zip(net._parts(), kept.files):
+                p[...] = kept[name]
+        return net
     if len(sentences):
         cut = [windows_of(s) for s in sentences]
         x, y = as_array([w for ws in cut for w in ws]), np.repeat(languages, [len(ws) for ws in cut])
@@ -219,6 +248,14 @@ def fit(documents: DataFrame, docs: int = FIT_DOCS, epochs: int = 4) -> ByteNet:
             rows = np.sort(rng.permutation(len(x))[: FIT_SENTENCES * 3 // 2])
             x, y = x[rows], y[rows]
         net.train(x, y, rng, epochs)
+    raw = io.BytesIO()
+    np.savez(raw, *net._parts())
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}-{uuid.uuid4().hex}")  # renamed when it is whole
+    out = fs.create(part, True)
+    out.write(bytearray(raw.getvalue()))
+    out.close()
+    if not fs.rename(part, at):
+        fs.delete(part, True)
     return net
 
 
