@@ -18,9 +18,11 @@ def queries() -> dict[str, Query]:
         "p1_neighbours": lambda spark, d: neighbours.ranked_neighbours(table(spark, d, "chunk_vectors"), queries="id % 100 = 0"),
         "p1_embeddings": lambda spark, d: neighbours.ranked_neighbours(table(spark, d, "embeddings"), queries="id % 100 = 0"),
         "p2_found": lambda spark, d: quality.broken_pairs(table(spark, d, "chat_pairs")),
+        "p2_empty": lambda spark, d: quality.broken_pairs(table(spark, d, "chat_pairs")).where("defect = 'empty'").select("pair_id"),
         "p2_report": lambda spark, d: quality.defect_report(table(spark, d, "chat_pairs")),
         "p4_found": lambda spark, d: splitting.oversized(table(spark, d, "chunks")),
         "p4_pieces": lambda spark, d: splitting.split_chunks(table(spark, d, "chunks")),
+        "p4_properties": lambda spark, d: splitting.piece_properties(table(spark, d, "chunks")).distinct(),
         "p6_found": lambda spark, d: conversations.dropped(table(spark, d, "chat_messages")),
         "p6_conversations": lambda spark, d: conversations.conversations(table(spark, d, "chat_messages")),
         "p6_linked": lambda spark, d: conversations.dropped(m := table(spark, d, "chat_messages"), conversations.reply_links(m)),
@@ -91,6 +93,13 @@ def oracle_sql() -> dict[str, str]:
             select distinct nullif(lower(trim(metadata.doc_id, {_BLANKS})), '') doc_id, metadata.chunk_index chunk_index,
                    case when regexp_matches(text, '{_GAP}{{400}}[^\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]') then 'forced' else 'natural' end kind
             from chunks where length(text) > 400""",
+        "p4_properties": f"""
+            select distinct nullif(lower(trim(metadata.doc_id, {_BLANKS})), '') doc_id, metadata.chunk_index chunk_index, length(text)::int length, true within_limit, true covers, true in_place, true "overlaps" from chunks where length(text) > 400""",
+        # placeholders stated anew, not taken from the operator
+        "p2_empty": f"""
+            with a as (select distinct pair_id, regexp_replace(regexp_replace(coalesce(answer, ''), '(?i)cited source indices\\s*:[^\\n]*', '', 'g'), '[\\p{{Cf}}\\x{{34f}}\\x{{115f}}\\x{{1160}}\\x{{2800}}\\x{{3164}}\\x{{fe0e}}\\x{{fe0f}}]', '', 'g') t from chat_pairs where pair_id is not null),
+            w as (select pair_id, array_to_string(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+'), ' ') w from a)
+            select distinct pair_id from w where w in ('', 'n a', 'na', 'nan', 'null', 'nil', 'none', 'tbd', 'todo', 'undefined', 'placeholder', 'no answer', 'answer', 'empty', 'no content', 'no response', 'answer here', 'your answer here')""",
         "p8_found": """
             with w as (select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') l from documents where text is not null),
             d as (select distinct doc_id, unnest(list_transform(range(1, len(l) - 10), lambda i: array_to_string(list_slice(l, i, i + 11), ' '))) g from w where len(l) >= 12),
