@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.session import key_of, utc
+from foliant.session import cut_lineage, key_of, utc
 
 #: A key is heavy when more than one reference in HEAVY_SHARE points to it, so there are fewer than HEAVY_SHARE heavy keys
 #: at any size of the tables: that is the proven bound of everything broadcast here.
@@ -75,6 +75,7 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     (broadcast) and light (shuffled), and both results are united. No rows, no parents or no deletions are no error.
     A null loaded_at is never late; its period is null. A null or blank reference is none.
     """
+    refs = cut_lineage(refs)  # counted, and then read again for the rows of heavy and of light keys
     per_period = refs.groupBy("parent", "key", _period(F.col("loaded_at")).alias("period")).agg(F.count("*").alias("n"), F.min("loaded_at").alias("first_ref"))
     per_key = per_period.groupBy("parent", "key").agg(F.sum("n").alias("n"), F.min("first_ref").alias("first_ref"))
     total = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
