@@ -20,7 +20,7 @@ FIT_ROWS = 20_000
 #: Vectors that a bucket should hold. It sets the length of the substrings: one bit more for twice as many vectors.
 BUCKET = 2048
 #: Bits of a substring, at any number of vectors, and 64-bit words of a code at least. A word holds whole substrings; each of them is indexed.
-MIN_BITS, MAX_BITS, WORDS = 3, 40, 2
+MIN_BITS, MAX_BITS, WORDS = 5, 40, 2
 #: The number of substrings is such that a pair of this cosine similarity shares one with this probability.
 AIM_SIMILARITY, AIM_RECALL = 0.85, 0.985
 #: Where thresholds cut a dense cluster its pairs share less, so tables are added, up to this many times the number, until the sample's pairs do.
