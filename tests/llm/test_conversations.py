@@ -86,3 +86,32 @@ def test_reply_links_decide_where_keys_lack(spark):
     assert {tuple(r) for r in C.reply_links(df).collect()} == {("b", "a")}
     assert {(r.user_id, r.doc_id): r.reason for r in C.dropped(df, C.reply_links(df)).collect()} == {("v", "d"): "missing_reply", ("w", "d"): "missing_reply"}
     assert C.dropped(df.limit(0), C.reply_links(df.limit(0))).count() == 0
+
+
+def test_components_decide_of_every_message(spark, monkeypatch):
+    """Without links too: messages that name one key, however spelled, are joined, and what the components say is the conversation."""
+    seen = []
+    monkeypatch.setattr(C, "components", lambda edges: seen.append(edges) or components(edges))
+    t = "2025-01-01 00:00:0%d"
+    data = [
+        ("a", "u", "d", "user", "q", t % 0), ("b", "U ", "D", "ai", "a", t % 1), ("b", "u", "d", "ai", "a", t % 1), ("c", "u", " d", "user", "q", t % 2),
+        ("x", "v", "d", "user", "q", t % 0), ("y", "w", "d", "ai", "a", t % 1), ("z", None, "d", "ai", "a", t % 3),
+    ]
+    assert reasons(spark, data) == {("u", "d"): "missing_reply", ("v", "d"): "missing_reply", ("w", "d"): "broken"}
+    (edges,) = seen
+    nodes = {n for e in edges.collect() for n in (e.a, e.b)}
+    assert len(nodes) == 5 and len({r.component for r in components(edges).collect()}) == 3
+
+    # one component: the same rows are one conversation under the least key
+    monkeypatch.setattr(C, "components", lambda edges: components(edges.unionByName(edges.selectExpr("a", "min(b) over () b"))))
+    assert reasons(spark, data) == {("u", "d"): "broken"}
+
+
+def test_links_join_keys_and_chains(spark):
+    """Links between two keys make one conversation, named by the least; a chain of messages without a key ends where its key is."""
+    t = "2025-01-01 00:00:0%d"
+    data = [("a", "v", "d", "user", "q", t % 0), ("b", "u", "d", "ai", "a", t % 1), ("c", None, "d", "user", "q", t % 2), ("e", None, None, "ai", "a", t % 3), ("f", None, "d", "ai", "a", t % 4), ("g", "u", None, "ai", "a", t % 5)]
+    links = [("b", "a"), ("e", "c"), ("c", "b"), ("g", "f"), ("c", "gone")]
+    assert reasons(spark, data, links) == {}
+    got = C.conversations(rows(spark, data), spark.createDataFrame(links, "id string, target string")).orderBy("seq").select("user_id", "doc_id", "seq", "id").collect()
+    assert [tuple(r) for r in got] == [("u", "d", i, m) for i, m in enumerate("abce")]
